@@ -1 +1,8 @@
 """Knowledge-graph ETL and analytics on Spark DataFrames."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel to the executors with the query, which need no copy of it.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
