@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import canonical, facts
+from . import bpe, canonical, facts, truncation
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +35,22 @@ def p4_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical.canonicalize(_text_values(spark, sf_dir))
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.truncated(table(spark, sf_dir, "documents")).where("is_cut").select("doc_id")
+
+
+def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.truncation_report(table(spark, sf_dir, "documents"))
+
+
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_report": p1_report,
+    "p7_ids": p7_ids,
     "p3_found": p3_found,
     "p3_facts": p3_facts,
     "p4_found": p4_found,
