@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import bpe, canonical, facts, truncation
+from . import bpe, canonical, facts, quality, truncation
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +47,17 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def p9_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.rate(quality.text_stats(table(spark, sf_dir, "documents"), table(spark, sf_dir, "common_words")))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p9_stats(spark, sf_dir).where("NOT is_prose").select("doc_id")
+
+
 QUERIES = {
+    "p9_stats": p9_stats,
+    "p9_found": p9_found,
     "p1_found": p1_found,
     "p1_report": p1_report,
     "p7_ids": p7_ids,
