@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import materialize
+
 STATS = ("n_words", "mean_word_len", "symbol_ratio", "punct_lines", "common_share", "prose_share")
 
 _HAN = "㐀-䶿一-鿿豈-﫿"
@@ -188,18 +190,26 @@ def text_stats(docs: DataFrame, common: DataFrame, key: str = "doc_id", text: st
 
 
 def language_sketches(stats: DataFrame, k: int = 400) -> DataFrame:
-    """One row per language: a mergeable quantile sketch of every statistic, median and spread."""
+    """One row per language: of every statistic's merged quantile sketch the percentiles, median and spread."""
     sk = stats.where(F.col("prose_share").isNotNull()).groupBy("lang").agg(*(F.kll_sketch_agg_double(s, F.lit(k)).alias(s + "_sketch") for s in STATS))
     q = lambda s, p: F.kll_sketch_get_quantile_double(s + "_sketch", F.lit(p))
+    grid = F.array(*(F.lit(i / 100) for i in range(101)))
     # half the distance of the quartiles stands for the median absolute deviation
-    return sk.select("*", *(q(s, 0.5).alias(s + "_median") for s in STATS), *(((q(s, 0.75) - q(s, 0.25)) / 2).alias(s + "_mad") for s in STATS))
+    return sk.select(
+        "lang",
+        *(F.kll_sketch_get_quantile_double(s + "_sketch", grid).alias(s + "_grid") for s in STATS),
+        *(q(s, 0.5).alias(s + "_median") for s in STATS),
+        *(((q(s, 0.75) - q(s, 0.25)) / 2).alias(s + "_mad") for s in STATS),
+    )
 
 
 def rate(stats: DataFrame, least_scale: float = 0.1, tail: float = 5.0) -> DataFrame:
     """Statistics with each one's percentile in its language, robust z-score of the prose share, and ``is_prose``."""
+    stats = materialize(stats, "text-stats")
     langs = language_sketches(stats).withColumnRenamed("lang", "of_lang")
     joined = stats.join(langs, stats["lang"].eqNullSafe(langs["of_lang"]), "left")
-    pct = [F.kll_sketch_get_rank_double(s + "_sketch", s).alias(s + "_pct") for s in STATS]
+    below = lambda s: F.size(F.filter(s + "_grid", lambda v: v <= F.col(s)))
+    pct = [F.when(F.col(s).isNotNull(), F.greatest(below(s) - 1, F.lit(0)) / 100).alias(s + "_pct") for s in STATS]
     # the sketches' spread sets the scale while it is small; where prose is no clear majority it says nothing of prose
     spread = 1.4826 * F.col("prose_share_mad")
     usable = (F.col("prose_share_median") >= 0.9) & (spread <= least_scale)
