@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import bpe, canonical, facts, quality, truncation
+from . import bpe, canonical, facts, neardup, quality, truncation
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,6 +47,10 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "content").select(F.col("first").alias("first_doc_id"), F.col("id").alias("doc_id"))
+
+
 def p9_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rate(quality.text_stats(table(spark, sf_dir, "documents"), table(spark, sf_dir, "common_words")))
 
@@ -56,6 +60,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p2_found": p2_found,
     "p9_stats": p9_stats,
     "p9_found": p9_found,
     "p1_found": p1_found,
