@@ -192,17 +192,30 @@ def _chunks(texts: list[str | None], most: int) -> Iterator[tuple[int, int]]:
     yield a, len(texts)
 
 
-def encode(df: DataFrame, key: str, text: str, vocabulary: str = DEFAULT_VOCABULARY, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """``key, ids`` of every row of ``df``: the text's ids without special tokens."""
+def _mapped(df: DataFrame, keys: list[str], text: str, vocabulary: str, chunk_bytes: int, out: str, finish) -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast(Merges(vocabulary))
-    kind = dict(df.dtypes)[key]
+    kinds = dict(df.dtypes)
+    names = [f"k{i}" for i in range(len(keys))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, pattern = shared.value, regex.compile(PRE_TOKEN)
         for b in batches:
-            texts = b.column(1).to_pylist()
+            texts = b.column(len(keys)).to_pylist()
             for a, z in _chunks(texts, chunk_bytes):
                 if z > a:
-                    yield pa.RecordBatch.from_arrays([b.column(0).slice(a, z - a), encode_texts(texts[a:z], m, pattern)], ["k", "ids"])
+                    made = finish(encode_texts(texts[a:z], m, pattern))
+                    yield pa.RecordBatch.from_arrays([*(b.column(i).slice(a, z - a) for i in range(len(keys))), made], [*names, "v"])
+
+    src = df.select(*(F.col(k).alias(n) for k, n in zip(keys, names, strict=True)), F.col(text).cast("string").alias("t"))
+    schema = ", ".join(f"{n} {kinds[k]}" for k, n in zip(keys, names, strict=True)) + f", v {out}"
+    return src.mapInArrow(run, schema).toDF(*keys, "v")
+
+
+def encode(df: DataFrame, key: str, text: str, vocabulary: str = DEFAULT_VOCABULARY, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """``key, ids`` of every row of ``df``: the text's ids without special tokens."""
+    return _mapped(df, [key], text, vocabulary, chunk_bytes, "array<int>", lambda lists: lists).withColumnRenamed("v", "ids")
+
 
-    return df.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).mapInArrow(run, f"k {kind}, ids array<int>").withColumnRenamed("k", key)
+def count_tokens(df: DataFrame, keys: list[str], text: str, vocabulary: str = DEFAULT_VOCABULARY, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """``keys.., n_tokens`` of every row of ``df``."""
+    return _mapped(df, keys, text, vocabulary, chunk_bytes, "long", lambda lists: lists.value_lengths().cast(pa.int64())).withColumnRenamed("v", "n_tokens")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import bpe, canonical, facts, neardup, quality, truncation
+from . import bpe, canonical, facts, mixing, neardup, quality, truncation
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,6 +51,14 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "content").select(F.col("first").alias("first_doc_id"), F.col("id").alias("doc_id"))
 
 
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_mix"))
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.shares(p8_mix(spark, sf_dir), table(spark, sf_dir, "source_mix"))
+
+
 def p9_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rate(quality.text_stats(table(spark, sf_dir, "documents"), table(spark, sf_dir, "common_words")))
 
@@ -61,6 +69,8 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p2_found": p2_found,
+    "p8_mix": p8_mix,
+    "p8_shares": p8_shares,
     "p9_stats": p9_stats,
     "p9_found": p9_found,
     "p1_found": p1_found,
