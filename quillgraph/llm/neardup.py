@@ -96,7 +96,8 @@ class Signer:
             a = z
         return bands.view(np.int64), sketch.view(np.int64)
 
-    def _chunk(self, keys: list[str], bands: np.ndarray, sketch: np.ndarray) -> None:
+    def hashed(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(64-bit hashes of all shingles one after another, number of shingles of each text)."""
         s = self.scheme
         lens = np.fromiter(map(len, keys), np.int64, len(keys))
         cp = np.frombuffer("".join(keys).encode("utf-32-le"), np.uint32).astype(np.uint64)
@@ -107,8 +108,36 @@ class Signer:
         ends = np.cumsum(lens)
         for i in range(1, s.width):
             inside[ends - i] = False
-        x = (_mix(h[inside[: len(h)]]) >> np.uint64(32)).astype(np.uint32)
-        starts = np.cumsum(lens - s.width + 1) - (lens - s.width + 1)
+        return _mix(h[inside[: len(h)]]), lens - s.width + 1
+
+    def pivot_table(self, keys: list[str], pivots: int) -> tuple[np.ndarray, np.ndarray]:
+        """(number of distinct shingles, [n, pivots] counts of distinct shingles by hash class, 255 at most)."""
+        size = np.empty(len(keys), np.int32)
+        table = np.empty((len(keys), pivots), np.uint8)
+        a = 0
+        while a < len(keys):
+            z, n = a, 0
+            while z < len(keys) and (z == a or n + len(keys[z]) <= WINDOWS):
+                n += len(keys[z])
+                z += 1
+            x, lens = self.hashed(keys[a:z])
+            row = np.repeat(np.arange(z - a), lens)
+            o = np.lexsort((x, row))
+            x, row = x[o], row[o]
+            once = np.ones(len(x), bool)
+            once[1:] = (x[1:] != x[:-1]) | (row[1:] != row[:-1])
+            x, row = x[once], row[once]
+            size[a:z] = np.bincount(row, minlength=z - a)
+            counts = np.bincount(row * pivots + (x % np.uint64(pivots)).astype(np.int64), minlength=(z - a) * pivots)
+            table[a:z] = np.minimum(counts, 255).reshape(z - a, pivots)
+            a = z
+        return size, table
+
+    def _chunk(self, keys: list[str], bands: np.ndarray, sketch: np.ndarray) -> None:
+        s = self.scheme
+        h, lens = self.hashed(keys)
+        x = (h >> np.uint64(32)).astype(np.uint32)
+        starts = np.cumsum(lens) - lens
         rows = np.arange(len(keys))
         v = np.empty_like(x)
         for b in range(s.bands):
@@ -135,8 +164,8 @@ def similarity(a: str, b: str, width: int) -> float:
     return both / (len(x) + len(y) - both) if x or y else 0.0
 
 
-def signatures(df: DataFrame, key: str, text: str, scheme: Scheme) -> DataFrame:
-    """``id, compared, hash, bands, s0..`` of the rows with enough compared characters; written once, read by column."""
+def signatures(df: DataFrame, key: str, text: str, scheme: Scheme, pivots: int = 0) -> DataFrame:
+    """``id, compared, hash, bands, s0..`` of the rows with enough compared characters; with ``pivots`` also ``n, pivots``."""
     kind = dict(df.dtypes)[key]
     words = [f"s{i}" for i in range(scheme.words)]
 
@@ -153,9 +182,13 @@ def signatures(df: DataFrame, key: str, text: str, scheme: Scheme) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * scheme.bands), pa.array(bands.ravel()))
             ids = b.column("id").take(pa.array(keep, pa.int64()))
             cols = [pa.array(np.ascontiguousarray(sketch[:, i])) for i in range(scheme.words)]
-            yield pa.RecordBatch.from_arrays([ids, pa.array(keys, pa.string()), pa.array(hashes, pa.binary()), lists, *cols], ["id", "compared", "hash", "bands", *words])
+            if pivots:
+                size, table = signer.pivot_table(keys, pivots)
+                cols += [pa.array(size), pa.array([r.tobytes() for r in table], pa.binary())]
+            yield pa.RecordBatch.from_arrays([ids, pa.array(keys, pa.string()), pa.array(hashes, pa.binary()), lists, *cols], ["id", "compared", "hash", "bands", *words, *extra])
 
-    schema = f"id {kind}, compared string, hash binary, bands array<long>, " + ", ".join(f"{w} long" for w in words)
+    extra = ["n", "pivots"] if pivots else []
+    schema = f"id {kind}, compared string, hash binary, bands array<long>, " + ", ".join(f"{w} long" for w in words) + (", n int, pivots binary" if pivots else "")
     return df.select(F.col(key).alias("id"), F.col(text).cast("string").alias("t")).where("t IS NOT NULL").mapInArrow(run, schema)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import bpe, canonical, facts, mixing, neardup, quality, truncation
+from . import bpe, canonical, facts, increment, mixing, neardup, quality, truncation
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,6 +51,10 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "content").select(F.col("first").alias("first_doc_id"), F.col("id").alias("doc_id"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return increment.repeated_records(table(spark, sf_dir, "records"), table(spark, sf_dir, "documents"))
+
+
 def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_mix"))
 
@@ -69,6 +73,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p2_found": p2_found,
+    "p6_found": p6_found,
     "p8_mix": p8_mix,
     "p8_shares": p8_shares,
     "p9_stats": p9_stats,
