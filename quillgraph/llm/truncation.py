@@ -19,6 +19,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from ..runtime import materialize
+
 # What may stand after a cut.
 CUT_MARKS = r"(?:\s*(?:…+|。{2,}|\.{2,}|\x{FFFD}+|[\[【][^\[\]【】。.]{1,12}[\]】]|&#?\w{0,8};?|<\/?\w{0,8}\/?>?))+\s*$"
 TOKEN = r"\p{IsLatin}[\p{IsLatin}\p{M}]*+|\p{Nd}++(?:\.\p{Nd}++)?|[^\s]"
@@ -33,7 +35,7 @@ OPEN_DECIMAL = r"\p{IsHan}[^。！？!?. ]*\p{Nd}\.$"
 
 
 def bodies(docs: DataFrame, value: str = "content") -> DataFrame:
-    """``doc_id, source, body, closed, t``: the texts that can be cut, without marks of a cut, and their tokens.
+    """``doc_id, source, closed, decimal, t``: the texts that can be cut, by their tokens without marks of a cut.
 
     ``closed`` texts end with a keyword line or a bracketed note, so their last tokens end no sentence.
     """
@@ -44,10 +46,11 @@ def bodies(docs: DataFrame, value: str = "content") -> DataFrame:
           SELECT doc_id, source, content, regexp_replace(content, :cut_marks, '') AS body
           FROM texts WHERE content <> '' AND NOT content RLIKE :placeholder
         )
-        SELECT doc_id, source, body, body RLIKE :keyword_line OR content RLIKE :bracket_note AS closed, transform(regexp_extract_all(body, :token, 0), t -> CASE WHEN t RLIKE :number THEN '0' ELSE t END) AS t
+        SELECT doc_id, source, body RLIKE :keyword_line OR content RLIKE :bracket_note AS closed, body RLIKE :open_decimal AS decimal,
+               transform(regexp_extract_all(body, :token, 0), t -> CASE WHEN t RLIKE :number THEN '0' ELSE t END) AS t
         FROM bodies
         """,
-        args={"blank": r"[\s\p{Z}]+", "cut_marks": CUT_MARKS, "placeholder": PLACEHOLDER, "token": TOKEN, "number": r"^\p{Nd}", "keyword_line": KEYWORD_LINE, "bracket_note": BRACKET_NOTE},
+        args={"blank": r"[\s\p{Z}]+", "cut_marks": CUT_MARKS, "placeholder": PLACEHOLDER, "token": TOKEN, "number": r"^\p{Nd}", "keyword_line": KEYWORD_LINE, "bracket_note": BRACKET_NOTE, "open_decimal": OPEN_DECIMAL},
         docs=docs.select("doc_id", "source", docs[value].cast("string").alias("content")),
     )
 
@@ -80,12 +83,13 @@ def _kind(w: str) -> str:
 def truncated(docs: DataFrame, value: str = "content", weight: int = 50, max_terminal: float = 0.03) -> DataFrame:
     """``doc_id, source, is_cut`` of every text that can be cut; terminal shares under ``max_terminal`` mean a cut."""
     spark = docs.sparkSession
-    texts = bodies(docs, value)
-    counts = gram_counts(texts)
+    # tokens and counts are written once: both are used several times below
+    texts = materialize(bodies(docs, value), "text-tokens")
+    counts = materialize(gram_counts(texts), "gram-counts")
     return spark.sql(
         f"""
         WITH ended AS (
-          SELECT doc_id, source, body,
+          SELECT doc_id, source, decimal,
                  coalesce(get(t, size(t) - 3), '') AS w1, coalesce(get(t, size(t) - 2), '') AS w2, coalesce(get(t, size(t) - 1), '') AS w3
           FROM {{texts}} WHERE NOT closed AND size(t) > 0
         ),
@@ -107,11 +111,11 @@ def truncated(docs: DataFrame, value: str = "content", weight: int = 50, max_ter
           FROM tri JOIN doubles d ON tri.w2 = d.w2 AND tri.w3 = d.w3 WHERE tri.ends > 0
         )
         SELECT e.doc_id, e.source, s.terminal,
-               s.terminal < :max_terminal OR e.body RLIKE :open_decimal AS is_cut
+               s.terminal < :max_terminal OR e.decimal AS is_cut
         FROM ended e JOIN shares s ON e.w1 = s.w1 AND e.w2 = s.w2 AND e.w3 = s.w3
         UNION ALL SELECT doc_id, source, NULL, false FROM {{texts}} WHERE closed OR size(t) = 0
         """,
-        args={"weight": weight, "max_terminal": max_terminal, "open_decimal": OPEN_DECIMAL, "latin": r"^\p{IsLatin}", "han": r"^\p{IsHan}"},
+        args={"weight": weight, "max_terminal": max_terminal, "latin": r"^\p{IsLatin}", "han": r"^\p{IsHan}"},
         texts=texts,
         counts=counts,
     )
