@@ -113,4 +113,5 @@ def unique_facts(triples: DataFrame) -> DataFrame:
     """One triple per fact (that of the smallest id) with its number of copies."""
     _, groups = fact_groups(triples)
     counts = groups.groupBy("first_id").agg(F.sum("n_copies").alias("n_copies"))
-    return triples.join(counts, triples["id"] == counts["first_id"]).select("id", *(triples[f] for f in FIELDS), "n_copies")
+    firsts = triples.select(F.col("id").alias("first_id"), *FIELDS)
+    return firsts.join(counts, "first_id").select(F.col("first_id").alias("id"), *FIELDS, "n_copies")

@@ -110,10 +110,10 @@ class Signer:
             inside[ends - i] = False
         return _mix(h[inside[: len(h)]]), lens - s.width + 1
 
-    def pivot_table(self, keys: list[str], pivots: int) -> tuple[np.ndarray, np.ndarray]:
-        """(number of distinct shingles, [n, pivots] counts of distinct shingles by hash class, 255 at most)."""
+    def pivot_table(self, keys: list[str], words: int) -> tuple[np.ndarray, np.ndarray]:
+        """(number of distinct shingles, [n, words] bitmaps of the hash classes that have a shingle of the text)."""
         size = np.empty(len(keys), np.int32)
-        table = np.empty((len(keys), pivots), np.uint8)
+        table = np.zeros((len(keys), words), np.uint64)
         a = 0
         while a < len(keys):
             z, n = a, 0
@@ -128,10 +128,13 @@ class Signer:
             once[1:] = (x[1:] != x[:-1]) | (row[1:] != row[:-1])
             x, row = x[once], row[once]
             size[a:z] = np.bincount(row, minlength=z - a)
-            counts = np.bincount(row * pivots + (x % np.uint64(pivots)).astype(np.int64), minlength=(z - a) * pivots)
-            table[a:z] = np.minimum(counts, 255).reshape(z - a, pivots)
+            place = np.unique(row * (64 * words) + (x % np.uint64(64 * words)).astype(np.int64))
+            word = place >> 6
+            first = np.flatnonzero(np.diff(word, prepend=-1))
+            bits = np.bitwise_or.reduceat(np.uint64(1) << (place & 63).astype(np.uint64), first)
+            table[a:z].reshape(-1)[word[first]] = bits
             a = z
-        return size, table
+        return size, table.view(np.int64)
 
     def _chunk(self, keys: list[str], bands: np.ndarray, sketch: np.ndarray) -> None:
         s = self.scheme
@@ -165,7 +168,8 @@ def similarity(a: str, b: str, width: int) -> float:
 
 
 def signatures(df: DataFrame, key: str, text: str, scheme: Scheme, pivots: int = 0) -> DataFrame:
-    """``id, compared, hash, bands, s0..`` of the rows with enough compared characters; with ``pivots`` also ``n, pivots``."""
+    """``id, compared, hash, bands, s0..`` of the rows with enough compared characters; with ``pivots`` also ``n, q0..``,
+    that many words of the pivot table."""
     kind = dict(df.dtypes)[key]
     words = [f"s{i}" for i in range(scheme.words)]
 
@@ -184,11 +188,11 @@ def signatures(df: DataFrame, key: str, text: str, scheme: Scheme, pivots: int =
             cols = [pa.array(np.ascontiguousarray(sketch[:, i])) for i in range(scheme.words)]
             if pivots:
                 size, table = signer.pivot_table(keys, pivots)
-                cols += [pa.array(size), pa.array([r.tobytes() for r in table], pa.binary())]
+                cols += [pa.array(size), *(pa.array(np.ascontiguousarray(table[:, i])) for i in range(pivots))]
             yield pa.RecordBatch.from_arrays([ids, pa.array(keys, pa.string()), pa.array(hashes, pa.binary()), lists, *cols], ["id", "compared", "hash", "bands", *words, *extra])
 
-    extra = ["n", "pivots"] if pivots else []
-    schema = f"id {kind}, compared string, hash binary, bands array<long>, " + ", ".join(f"{w} long" for w in words) + (", n int, pivots binary" if pivots else "")
+    extra = ["n", *(f"q{i}" for i in range(pivots))] if pivots else []
+    schema = f"id {kind}, compared string, hash binary, bands array<long>, " + ", ".join(f"{w} long" for w in words) + (", n int" + "".join(f", q{i} long" for i in range(pivots)) if pivots else "")
     return df.select(F.col(key).alias("id"), F.col(text).cast("string").alias("t")).where("t IS NOT NULL").mapInArrow(run, schema)
 
 
