@@ -30,12 +30,33 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("quillgraph.work.dir", None) or work_dir(spark)
 
 
+CLEANUP_CONF = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: lineage ends, lost executors cost no recomputation."""
+    """Write ``df`` once to the shared folder and read it back: lineage ends, lost executors cost no recomputation.
+
+    The write's shuffle files are dropped when it ends, since nothing reads them again.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/quillgraph/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEANUP_CONF, "false")
+    spark.conf.set(CLEANUP_CONF, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP_CONF, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def discard(*written: DataFrame) -> None:
+    """Delete tables of ``materialize`` that nothing will read any more."""
+    for df in written:
+        spark = df.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.written_path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
