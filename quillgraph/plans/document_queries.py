@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import ids, scores, text
 from ..operators import collect, dedupe, extract, labels, rules, store
 from ..runtime import table
+from ..streaming import identity
 from . import sql
-from .fact_queries import titles
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -461,4 +461,71 @@ def lineitem_summary(spark, d):
     return table(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("qty"), F.round(F.avg("l_discount"), 6).alias("mean_discount"))
 
 
-_ = titles
+@query(f"WITH t AS (SELECT category_id, unnest(string_split(query_terms, '|')) AS x FROM clc_r_categories), k AS (SELECT category_id, lower({sql.squeeze('x')}) AS term FROM t), {_REC}, d AS (SELECT run_id, document_id, lower({sql.squeeze('content')}) AS body, unnest(cats) AS cat FROM r) SELECT run_id, document_id, cat AS category_id, bool_or(term <> '' AND contains(body, term)) AS matched FROM d JOIN k ON k.category_id = d.cat GROUP BY 1, 2, 3")
+def query_term_match(spark, d):
+    raw = table(spark, d, "clc_r_categories").select(F.col("category_id").alias("k"), F.explode(F.split("query_terms", "\\|")).alias("term"))
+    r = collect.parsed(table(spark, d, "records")).select("run_id", "document_id", F.lower(text.squeeze(F.col("doc.text.content"))).alias("body"), F.explode("doc.classifications.category_id").alias("category_id"))
+    return r.join(raw, F.col("category_id") == F.col("k")).groupBy("run_id", "document_id", "category_id").agg(F.bool_or(collect.term_matches(F.col("term"), F.col("body"), False)).alias("matched"))
+
+
+_ANCHORS = ("显影检查", "检测", "片", "注射液", "胶囊", "颗粒", "新发病例", "血药浓度", "病死率")
+
+
+@query("SELECT doc_id, " + " + ".join(f"CAST(contains(coalesce(content,''), '{a}') AS INT)" for a in _ANCHORS) + " AS anchors FROM documents")
+def anchor_counts(spark, d):
+    return _d(spark, d).select("doc_id", sum((F.contains(F.coalesce("content", F.lit("")), F.lit(a)).cast("int") for a in _ANCHORS), F.lit(0)).alias("anchors"))
+
+
+@query(f"SELECT category_id FROM clc_r_categories WHERE category_id IN ('clc_r132', 'clc_r999') OR {_CODE} IN ('R155', 'R200')")
+def category_select(spark, d):
+    c = table(spark, d, "clc_r_categories")
+    return c.where(F.col("category_id").isin("clc_r132", "clc_r999") | ids.class_code(F.col("clc_code")).isin("R155", "R200")).select("category_id")
+
+
+@query(f"WITH {_REC} SELECT run_id, document_id, floor(least((CASE WHEN coalesce(source_name,'') = 'mediawiki' THEN 0.48::DOUBLE ELSE 0.58::DOUBLE END) + 0.20::DOUBLE * (CASE WHEN contains(lower(title), '综合征') THEN 1 ELSE 0 END) + 0.08::DOUBLE * (CASE WHEN contains(content, '综合征') THEN 1 ELSE 0 END) + (CASE WHEN length(content) >= 200 THEN 0.06::DOUBLE ELSE 0.0::DOUBLE END), 0.95::DOUBLE) * 100.0::DOUBLE + 0.5::DOUBLE) / 100.0::DOUBLE AS relevance FROM r")
+def relevance_score(spark, d):
+    r = collect.parsed(table(spark, d, "records")).select("run_id", "document_id", F.coalesce("source_name", F.lit("")).alias("src"), F.col("doc.bibliography.title").alias("title"), F.col("doc.text.content").alias("content"))
+    has = lambda c: F.when(F.contains(c, F.lit("综合征")), 1).otherwise(0)
+    return r.select("run_id", "document_id", scores.relevance(F.col("src"), has(F.lower("title")), has(F.col("content")), F.length("content"), F.lit(False)).alias("relevance"))
+
+
+@query("SELECT doc_id, floor(least(0.25::DOUBLE + least(coalesce(length(title), 0) / 100.0::DOUBLE, 0.15::DOUBLE) + least(coalesce(length(content), 0) / 1200.0::DOUBLE, 0.30::DOUBLE) + 0.10::DOUBLE + 0.5::DOUBLE * 0.20::DOUBLE, 0.99::DOUBLE) * 100.0::DOUBLE + 0.5::DOUBLE) / 100.0::DOUBLE AS quality FROM documents")
+def document_quality(spark, d):
+    size = lambda c: F.coalesce(F.length(c), F.lit(0))
+    return _d(spark, d).select("doc_id", scores.document_quality(size("title"), size("content"), F.lit(True), F.lit(0.5)).alias("quality"))
+
+
+@query("SELECT category_id, 'sha256:' || sha256(CAST(to_json({'category_id': category_id, 'clc_code': clc_code, 'clc_name': clc_name}) AS VARCHAR)) AS fingerprint FROM clc_r_categories")
+def row_fingerprints(spark, d):
+    c = table(spark, d, "clc_r_categories")
+    return c.select("category_id", ids.fingerprint({k: F.col(k) for k in ("clc_name", "category_id", "clc_code")}).alias("fingerprint"))
+
+
+@query(f"SELECT doc_id, len(list_filter(list_transform(regexp_split_to_array(coalesce(title,''), '[{text.CLAUSE_MARKS}]'), lambda x: trim(x, {sql.WS})), lambda x: x <> '')) AS n FROM documents")
+def split_clauses(spark, d):
+    return _d(spark, d).select("doc_id", F.size(text.clauses(F.coalesce("title", F.lit("")))).cast("long").alias("n"))
+
+
+@query("SELECT doc_id, CASE WHEN length(coalesce(title,'')) = 0 THEN 0 ELSE len(list_distinct(list_transform(range(1, greatest(length(title) - 1, 1) + 1), lambda i: substring(title, i, 2)))) END AS n FROM documents")
+def title_bigrams(spark, d):
+    return _d(spark, d).select("doc_id", F.size(text.bigrams(F.coalesce("title", F.lit("")))).cast("long").alias("n"))
+
+
+@query("SELECT part, count(*) AS n FROM (SELECT 'new' AS part, document_id, content_hash, CAST(NULL AS INT) AS triple_count FROM documents UNION ALL SELECT 'state', document_id, content_hash, triple_count FROM extract_state) GROUP BY part")
+def schema_merge(spark, d):
+    a = _d(spark, d).select(F.lit("new").alias("part"), "document_id", "content_hash")
+    return a.unionByName(table(spark, d, "extract_state").withColumn("part", F.lit("state")), allowMissingColumns=True).groupBy("part").agg(F.count("*").alias("n"))
+
+
+@query("SELECT layer, array_to_string(list(id ORDER BY id)[1:5], ',') AS first_ids FROM triples GROUP BY layer")
+def first_ids_per_layer(spark, d):
+    best = dedupe.capped(table(spark, d, "triples").withColumn("g", F.coalesce("layer", F.lit("\x00"))), "g", "id", 5)
+    return best.groupBy("layer").agg(F.array_join(F.array_sort(F.collect_list("id")), ",").alias("first_ids"))
+
+
+@query()
+def identity_dispositions(spark, d):
+    keys = collect.identity_keys(table(spark, d, "records")).withColumnRenamed("run_id", "r").withColumnRenamed("document_id", "i")
+    rec = table(spark, d, "records").select("run_id", "document_id", "source_name", "content_hash")
+    rows = rec.join(keys, (F.col("run_id") == F.col("r")) & (F.col("document_id") == F.col("i"))).select("source_name", "document_id", "content_hash", "keys", "run_id")
+    return identity.resolve_batch(rows, "run_id")

@@ -11,8 +11,12 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..operators.components import connected
+from ..runtime import materialize
+
 OUT = "source_name string, document_id string, disposition string, matched string"
 
 
@@ -32,17 +36,33 @@ def decide(known: dict[str, tuple[str, str]], document_id: str, content_hash: st
 
 
 def resolve_batch(records: DataFrame, order: str) -> DataFrame:
-    """All records of each source in the order of ``order`` (one task per source: arrival order is the rule)."""
-
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
-        known: dict[str, tuple[str, str]] = {}
-        out = []
-        for r in rows.sort_values([order, "document_id"], kind="stable").itertuples():
-            d, m = decide(known, r.document_id, r.content_hash, list(r.keys))
-            out.append((key[0], r.document_id, d, m))
-        return pd.DataFrame(out, columns=["source_name", "document_id", "disposition", "matched"])
+    """All records in the order of ``order`` (then document_id) within each source.
+
+    Records that share no key, directly or through others, can't affect each other: the rule runs per connected group
+    of records and keys, streamed in order through the task that holds the group, with the group's keys in memory.
+    """
+    rows = records.select("source_name", "document_id", "content_hash", "keys", F.col(order).alias("at"))
+    rows = materialize(rows.withColumn("n", F.monotonically_increasing_id()), "identity-rows")
+    # a group's edges: each record to its first key, and that key to the record's other keys
+    named = F.transform("keys", lambda k: F.concat(F.coalesce("source_name", F.lit("")), F.lit("\x00"), k))
+    k = rows.where(F.size("keys") > 0).select("n", F.explode(named).alias("key"), named[0].alias("first"))
+    groups = connected(k.select(F.col("first").alias("a"), F.col("key").alias("b")).distinct())
+    placed = rows.withColumn("first", F.try_element_at(named, F.lit(1))).join(groups.withColumnRenamed("id", "first"), "first", "left")
+    placed = placed.withColumn("label", F.coalesce("label", F.col("n").cast("string"))).drop("first")
+    cut = placed.repartition("label").sortWithinPartitions("label", "at", "document_id")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, known = None, {}
+        for b in batches:
+            out = []
+            for r in b.itertuples():
+                if r.label != group:
+                    group, known = r.label, {}
+                d, m = decide(known, r.document_id, r.content_hash, list(r.keys))
+                out.append((r.source_name, r.document_id, d, m))
+            yield pd.DataFrame(out, columns=["source_name", "document_id", "disposition", "matched"])
 
-    return records.groupBy("source_name").applyInPandas(run, OUT)
+    return cut.mapInPandas(run, OUT)
 
 
 class IdentityProcessor(StatefulProcessor):
