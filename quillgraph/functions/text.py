@@ -61,7 +61,7 @@ def plain_sentences(c: Column) -> Column:
 
 
 def tokens(c: Column) -> Column:
-    return F.regexp_extract_all(c, F.lit("[\\u4e00-\\u9fff]+|[a-zA-Z0-9]+(?:[-.][a-zA-Z0-9]+)*|[^\\s\\u4e00-\\u9fffa-zA-Z0-9]"), F.lit(0))
+    return F.regexp_extract_all(c, F.lit("[\\u4e00-\\u9fff]+|[a-zA-Z0-9]+(?:[-.][a-zA-Z0-9]+)*+|[^\\s\\u4e00-\\u9fffa-zA-Z0-9]"), F.lit(0))
 
 
 def clauses(c: Column) -> Column:

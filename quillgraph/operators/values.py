@@ -9,7 +9,7 @@ delimiters are scored over all rows of a source:
 
 Marks inside quotes, inside brackets or between two digits never count. A candidate whose score stays below
 ``min_score`` is taken as an ordinary character of that source, all others separate (values mix delimiters, so the
-winners are used together). One aggregation over a dozen numbers per source gives the scores; the decision goes back
+winners are used together, and a mark that ``evidence`` values or fewer hold is one by default). One aggregation over a dozen numbers per source gives the scores; the decision goes back
 as a join with one row per source, so nothing is collected.
 
 Defined cases: NULL, empty or blank fields give no row; empty pieces are skipped and not counted in ``pos``;
@@ -51,7 +51,7 @@ def _enclosed() -> str:
 def piece_pattern(marks: str) -> str:
     """Java pattern of one piece between the given delimiter characters."""
     cls = _chars(marks)
-    return f"(?:{_enclosed()}|(?<=\\p{{Nd}})[{cls}](?=\\p{{Nd}})|[^{cls}])+"
+    return f"(?:{_enclosed()}|(?<=\\p{{Nd}})[{cls}](?=\\p{{Nd}})|[^{cls}])++"
 
 
 def strip_piece(piece: Column) -> Column:
@@ -100,12 +100,12 @@ def delimiter_scores(df: DataFrame, source: str, value: str) -> DataFrame:
     return agg.select("source", "delimiter", "n_values", "n_split", consistency.alias("consistency"), regularity.alias("regularity"), regularity.alias("score"))
 
 
-def split_values(df: DataFrame, key: str, source: str, value: str, min_score: float = 0.5) -> DataFrame:
+def split_values(df: DataFrame, key: str, source: str, value: str, min_score: float = 0.5, evidence: int = 20) -> DataFrame:
     """``source, row_key, pos, val``: one row per value of the fields that hold two or more."""
     all_marks = "".join(DELIMITERS.values())
     marked = df.select(F.col(source).alias("source"), F.col(key).cast("string").alias("row_key"), F.col(value).alias("v")).where(F.col("v").rlike("[" + _chars(all_marks) + "]"))
     # the marks that do not separate in a source: at most the dozen candidates for each of the caller's sources
-    kept = delimiter_scores(df, source, value).where((F.col("n_split") > 0) & (F.col("score") < min_score))
+    kept = delimiter_scores(df, source, value).where((F.col("n_split") >= evidence) & (F.col("score") < min_score))
     plain = kept.groupBy("source").agg(F.array_sort(F.collect_set("delimiter")).alias("plain"))
     joined = marked.join(plain, "source", "left")
     v = F.col("v")
@@ -120,7 +120,7 @@ def split_values(df: DataFrame, key: str, source: str, value: str, min_score: fl
 
 
 # Fixed value: an id is letters, digits, low lines, hyphens and dots inside.
-ID_PATTERN = "[\\p{L}\\p{N}_]+(?:[-.:][\\p{L}\\p{N}_]+)*"
+ID_PATTERN = "[\\p{L}\\p{N}_]+(?:[-.:][\\p{L}\\p{N}_]+)*+"
 
 
 def split_ids(df: DataFrame, key: str, value: str) -> DataFrame:

@@ -78,3 +78,10 @@ def test_empty_table(spark):
 def test_ids(spark, v):
     df = spark.createDataFrame([(1, v), (2, "c_9"), (3, None), (4, "[]")], "k long, v string")
     assert [(r.row_key, r.pos, r.val) for r in split_ids(df, "k", "v").orderBy("pos").collect()] == [("1", 1, "c_1"), ("1", 2, "c_2")]
+
+
+def test_long_pieces_need_no_deep_stack(spark):
+    rows_ = ["甲" * 200_000 + "、乙", "1,2" * 20_000 + "、乙", '"甲"' * 3000 + "、乙"]
+    assert {k: len(v) for k, v in rows(spark, rows_).items()} == {0: 2, 1: 2, 2: 2}
+    df = spark.createDataFrame([(1, "a-" * 100_000 + "a b")], "k long, v string")
+    assert split_ids(df, "k", "v").count() == 2
