@@ -150,6 +150,8 @@ class Signer:
                 np.multiply(v, self.mul[j], out=v)
                 low = np.minimum.reduceat(v, starts)
                 key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + low)
+                if not s.words:
+                    continue
                 # the bit this value flips: a hash of the value and of its place among the values
                 at = _mix(low.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + self.place[j]) % np.uint64(64 * s.words)
                 sketch[rows, (at >> np.uint64(6)).astype(np.intp)] ^= np.uint64(1) << (at & np.uint64(63))
@@ -192,7 +194,8 @@ def signatures(df: DataFrame, key: str, text: str, scheme: Scheme, pivots: int =
             yield pa.RecordBatch.from_arrays([ids, pa.array(keys, pa.string()), pa.array(hashes, pa.binary()), lists, *cols], ["id", "compared", "hash", "bands", *words, *extra])
 
     extra = ["n", *(f"q{i}" for i in range(pivots))] if pivots else []
-    schema = f"id {kind}, compared string, hash binary, bands array<long>, " + ", ".join(f"{w} long" for w in words) + (", n int" + "".join(f", q{i} long" for i in range(pivots)) if pivots else "")
+    longs = "".join(f", {w} long" for w in words)
+    schema = f"id {kind}, compared string, hash binary, bands array<long>{longs}" + (", n int" + "".join(f", q{i} long" for i in range(pivots)) if pivots else "")
     return df.select(F.col(key).alias("id"), F.col(text).cast("string").alias("t")).where("t IS NOT NULL").mapInArrow(run, schema)
 
 
