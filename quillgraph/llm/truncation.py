@@ -21,17 +21,17 @@ from pyspark.sql import DataFrame
 
 from ..runtime import materialize
 
-# What may stand after a cut.
-CUT_MARKS = r"(?:\s*(?:…+|。{2,}|\.{2,}|\x{FFFD}+|[\[【][^\[\]【】。.]{1,12}[\]】]|&#?\w{0,8};?|<\/?\w{0,8}\/?>?))+\s*$"
+# What may stand after a cut. All patterns take time in proportion to the text.
+CUT_MARKS = r"(?:\s?(?:(?<!…)…++|(?<!。)。{2,}+|(?<!\.)\.{2,}+|(?<!\x{FFFD})\x{FFFD}++|[\[【][^\[\]【】。.]{1,12}+[\]】]|(?<!&)&#?\w{0,8}+;?|(?<!<)<\/?\w{0,8}+\/?>?)){1,8}+\s?$"
 TOKEN = r"\p{IsLatin}[\p{IsLatin}\p{M}]*+|\p{Nd}++(?:\.\p{Nd}++)?|[^\s]"
 END = r"[。．.！!？?…]"
-KEYWORD_LINE = r"(?:^|[。．.！!？?…”’\"'）)\]】\n])\s*(?:[^，。；;：:、“”\"()（）\s][^，。；;：:、“”\"()（）]{1,11}[:：][^。！!？?“”\"]*[；;|｜、,，][^。！!？?“”\"]*|(?i:关键词|关键字|主题词|key\s?words?)\s*[:：][^。！!？?]*)$"
+KEYWORD_LINE = r"(?:^|[。．.！!？?…”’\"'）)\]】\n])\s*(?:[^，。；;：:、“”\"()（）\s][^，。；;：:、“”\"()（）]{1,11}[:：](?=[^。！!？?“”\"]*+$)[^；;|｜、,，]*[；;|｜、,，]|(?i:关键词|关键字|主题词|key\s?words?)\s*[:：](?=[^。！!？?]*+$))"
 BRACKET_NOTE = r"(?:^|[。．.！!？?…”’\"'])\s*(?:（[^（）]*[）)]|\([^()]*[)）]|【[^【】]*】|\[[^\[\]]*\])\s*$"
 # Texts that stand for a missing one.
 PLACEHOLDER = r"^[（(\[【]?\s*(?i:内容待补|本条目正在整理|暂无简介|暂无摘要|暂无内容|暂无|无|待补充?|no abstract available|not available|n/?a|none|null|todo|tbd|-+)\s*[。.）)\]】]*$"
 
 # Fixed value: a full stop right after a number in a Chinese clause, which is cut inside a decimal.
-OPEN_DECIMAL = r"\p{IsHan}[^。！？!?. ]*\p{Nd}\.$"
+OPEN_DECIMAL = r"(?:^|[。！？!?. ])(?=[^。！？!?. ]*+\.$)(?=[^。！？!?. \p{IsHan}]*+\p{IsHan})[^。！？!?. ]*\p{Nd}\.$"
 
 
 def bodies(docs: DataFrame, value: str = "content") -> DataFrame:

@@ -128,3 +128,14 @@ def test_round_trip():
 def test_nfc_of_class_table():
     assert all(unicodedata.normalize("NFC", c) == c for c in "éáöü")
     assert F is not None
+
+
+def test_long_texts_take_time_in_proportion(spark):
+    long = ["甲" * 200_000, "甲" * 100_000 + "82.", "<" * 100_000 + "x", "标签：" + "甲；" * 50_000 + "。", "." * 100_000, "a. " * 60_000, "& " * 50_000, "甲。" * 60_000]
+    texts = corpus(60) + long
+    got = {r.doc_id: r.is_cut for r in truncation.truncated(docs(spark, texts)).collect()}
+    assert len(got) == len(texts) and got[60] and got[61]
+    words = spark.createDataFrame([("zh", "的")], "lang string, word string")
+    df = spark.createDataFrame([(i, "zh", t) for i, t in enumerate(long)], "doc_id long, lang string, text string")
+    assert quality.rate(quality.text_stats(df, words)).count() == len(long)
+    assert canonical.canonicalize(values(spark, long)).count() == 0
