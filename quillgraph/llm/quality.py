@@ -50,7 +50,7 @@ def _is_row(line: str) -> bool:
     s = line.strip()
     if _RULER.match(s) or re.search(r"\S *\t+ *\S", s) or s.count("|") >= 2 or s.count("│") >= 1 or s.count("｜") >= 2:
         return True
-    if len(re.findall(r"\S+=\S", s)) >= 2 or len(re.findall(r"\S {2,}(?=\S)", s)) >= 2:
+    if len(re.findall(r"(?<=\S)=\S", s)) >= 2 or len(re.findall(r"\S {2,}(?=\S)", s)) >= 2:
         return True
     for sep in (",", ";", "，", "；", "|", "/", "  "):
         cells = [c.strip() for c in s.split(sep)]
