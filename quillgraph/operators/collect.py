@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ids, text
+from . import dedupe
 
 CANONICAL = (
     "schema_version string, document_id string, source struct<name:string,record_id:string,url:string>, "
@@ -18,6 +19,23 @@ def parsed(records: DataFrame) -> DataFrame:
     return records.withColumn("doc", F.from_json("canonical_json", CANONICAL))
 
 
+def legacy_rows(records: DataFrame) -> DataFrame:
+    """The nine fields of a flat document, of the first record (by created_at, run_id) of each document_id."""
+    r = parsed(records).withColumn("_at", F.struct("created_at", "run_id"))
+    d, raw = F.col("doc"), F.col("canonical_json")
+    ids_ = F.transform(d["classifications"]["category_id"], lambda c: F.concat(F.lit('"'), c, F.lit('"')))
+    flat = r.select(
+        "_at", d["document_id"].alias("document_id"),
+        F.concat(F.lit("["), F.coalesce(F.array_join(ids_, ", "), F.lit("")), F.lit("]")).alias("category_ids"),
+        d["bibliography"]["title"].alias("title"), d["text"]["content"].alias("content"),
+        F.coalesce(d["source"]["url"], F.lit("")).alias("source_url"),
+        F.coalesce(F.get_json_object(raw, "$.source.rights_statement"), F.lit("unknown")).alias("license"),
+        F.coalesce(F.get_json_object(raw, "$.provenance[0].collected_at"), F.lit("")).alias("collected_at"),
+        d["text"]["content_hash"].alias("content_hash"), d["quality"]["score"].alias("quality_score"),
+    )
+    return dedupe.first_seen(flat, ("document_id",), "_at").drop("_at")
+
+
 def category_list(c: Column) -> Column:
     """A list of ids from a JSON list, or from any other text as one id; NULL and '' as the empty list."""
     as_list = F.from_json(c, "array<string>")

@@ -223,6 +223,36 @@ def merge_reports(spark, d):
     return store.merge_reports(docs.where("doc_id % 3 = 0").drop("doc_id"), docs.where("doc_id % 2 = 0").drop("doc_id"))
 
 
+_NINE = ("document_id", "category_ids", "title", "content", "source_url", "license", "collected_at", "content_hash", "quality_score")
+_BATCH = f"""{FIRST}, s AS (SELECT json_extract_string(canonical_json, '$.document_id') AS document_id, '[' || coalesce(array_to_string(list_transform(json_extract_string(canonical_json, '$.classifications[*].category_id'), lambda c: '"' || c || '"'), ', '), '') || ']' AS category_ids,
+  json_extract_string(canonical_json, '$.bibliography.title') AS title, json_extract_string(canonical_json, '$.text.content') AS content, coalesce(json_extract_string(canonical_json, '$.source.url'), '') AS source_url, coalesce(json_extract_string(canonical_json, '$.source.rights_statement'), 'unknown') AS license,
+  coalesce(json_extract_string(canonical_json, '$.provenance[0].collected_at'), '') AS collected_at, json_extract_string(canonical_json, '$.text.content_hash') AS content_hash, CAST(json_extract_string(canonical_json, '$.quality.score') AS DOUBLE) AS quality_score
+  FROM records WHERE coalesce(json_extract_string(canonical_json, '$.document_id'), '') <> '' QUALIFY row_number() OVER (PARTITION BY json_extract_string(canonical_json, '$.document_id') ORDER BY created_at, run_id) = 1)"""
+
+
+def _batch(spark, d):
+    return first_rows(spark, d).select(*_NINE), collect.legacy_rows(table(spark, d, "records"))
+
+
+@query(f"WITH {_BATCH} SELECT coalesce(t.document_id, s.document_id) AS document_id, CASE WHEN t.document_id IS NOT NULL THEN t.category_ids ELSE s.category_ids END AS category_ids, " + ", ".join(f"CASE WHEN s.document_id IS NOT NULL THEN s.{c} ELSE t.{c} END AS {c}" for c in _NINE[2:]) + " FROM docs1 t FULL JOIN s ON s.document_id = t.document_id")
+def import_records(spark, d):
+    """All records into all documents: seven columns are updated, old categories stay."""
+    t, s = _batch(spark, d)
+    return store.upsert(t, s, "document_id", list(_NINE[2:]))
+
+
+@query(f"WITH {_BATCH} SELECT {', '.join(_NINE)} FROM docs1 UNION ALL SELECT {', '.join(_NINE)} FROM s WHERE document_id NOT IN (SELECT document_id FROM docs1)")
+def import_missing_records(spark, d):
+    t, s = _batch(spark, d)
+    return store.insert_missing(t, s, "document_id")
+
+
+@query(f"WITH {_BATCH} SELECT coalesce(s.document_id, t.document_id) AS document_id, " + ", ".join(f"CASE WHEN s.document_id IS NOT NULL THEN s.{c} ELSE t.{c} END AS {c}" for c in _NINE[1:]) + " FROM docs1 t FULL JOIN s ON s.document_id = t.document_id")
+def merge_records(spark, d):
+    t, s = _batch(spark, d)
+    return store.merge_reports(s, t)
+
+
 _CODE = f"upper(trim({sql.squeeze('clc_code')}, '[]{{}}'))"
 _FLAG = "CASE WHEN lower({0}) IN ('1','true','yes','y') THEN true WHEN lower({0}) IN ('0','false','no','n') THEN false END"
 

@@ -134,6 +134,24 @@ def review_semi(spark, d):
     return _flagged(spark, d).where(F.array_contains("broken", "review")).select("id", "subject", "relation", "object")
 
 
+FLAGS_LOW = FLAGS.replace("confidence < 0.4 AND id % 3 = 0", "confidence < 0.4")
+
+
+def _flagged_low(spark, d):
+    """With every fact of low confidence on the review list."""
+    return rules.broken_rules(_t(spark, d), titles(spark, d), _t(spark, d).where("confidence < 0.4"))
+
+
+@query(f"WITH {FLAGS_LOW} SELECT id, array_to_string(broken, ',') AS broken FROM flags")
+def rule_flags_low(spark, d):
+    return _flagged_low(spark, d).select("id", F.array_join("broken", ",").alias("broken"))
+
+
+@query("SELECT id, subject, relation, object FROM triples WHERE confidence < 0.4")
+def review_semi_low(spark, d):
+    return _flagged_low(spark, d).where(F.array_contains("broken", "review")).select("id", "subject", "relation", "object")
+
+
 _KEEP = f"row_number() OVER (PARTITION BY {sql.s('subject')}, {sql.s('relation')}, {sql.s('object')} ORDER BY coalesce(confidence, 0) DESC, id)"
 
 

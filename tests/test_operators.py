@@ -86,6 +86,20 @@ def test_stored_tables(spark):
     assert {r.id for r in store.insert_or_ignore(facts.limit(0), facts).collect()} == {1, 2, 3}
 
 
+def test_whole_tables_are_merged(spark, sf_dir):
+    from quillgraph.plans import document_queries, fact_queries
+    from quillgraph.runtime import table
+
+    docs = {r.document_id for r in table(spark, sf_dir, "documents").collect() if r.document_id}
+    recs = {r.document_id for r in table(spark, sf_dir, "records").collect() if r.document_id}
+    assert docs & recs and recs - docs
+    for name in ("import_records", "import_missing_records", "merge_records"):
+        got = [r.document_id for r in document_queries.Q[name](spark, sf_dir).select("document_id").collect()]
+        assert len(got) == len(set(got)) and set(got) == docs | recs
+    low = {r.id for r in table(spark, sf_dir, "triples").where("confidence < 0.4").collect()}
+    assert low and {r.id for r in fact_queries.Q["review_semi_low"](spark, sf_dir).collect()} == low
+
+
 def test_unknown_rule():
     with pytest.raises(ValueError):
         rules.broken_rules(None, rules=("nonsense",))
