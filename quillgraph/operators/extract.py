@@ -5,6 +5,7 @@ Model-backed layers plug in as functions from a batch of sentences to spans; eve
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import ahocorasick
@@ -106,12 +107,47 @@ def tag_spans(sentences: DataFrame, tagger: Callable[[pd.Series], pd.Series], ke
     return sentences.select(key, "pos", "sentence", F.explode(F.pandas_udf(tagger, kind)("sentence")).alias("s")).select(key, "pos", "sentence", "s.*")
 
 
-def pair_spans(spans: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Disease and other spans of a sentence, paired within a clause where there is one, else within the sentence."""
+def lexicon_tagger(lexicon: dict[str, tuple[str, ...]] = LEXICON) -> Callable[[pd.Series], pd.Series]:
+    """A tagger without a model: lexicon terms (0.9), and template terms and names that end like diseases, without function characters (0.7)."""
+    terms = [(t, k) for k, ts in lexicon.items() for t in ts]
+    patterns = {"Disease": "([\\u4e00-\\u9fff]{1,10}(?:" + "|".join(text.DISEASE_ENDS) + "))", **TEMPLATES}
+    noise = "[" + text.TEMPLATE_NOISE + "]"
+
+    def tag(sentences: pd.Series) -> pd.Series:
+        automaton = ahocorasick.Automaton()
+        for t, k in terms:
+            automaton.add_word(t, (t, k))
+        automaton.make_automaton()
+        n = re.compile(noise)
+
+        def spans(x: str) -> list[dict]:
+            out = [(t, k, 0.9, end - len(t) + 1, end + 1) for end, (t, k) in automaton.iter(x)]
+            out += [(m[1], k, 0.7, m.start(1), m.end(1)) for k, p in patterns.items() for m in re.finditer(p, x) if not n.search(m[1])]
+            return [dict(zip(("term", "type", "confidence", "start", "end"), s, strict=True)) for s in out]
+
+        return sentences.map(spans)
+
+    return tag
+
+
+def pair_spans(spans: DataFrame, key: str = "doc_id", titles: DataFrame | None = None) -> DataFrame:
+    """Disease and other spans of a sentence, paired within a clause where there is one, else within the sentence.
+
+    Where a sentence names no disease, the title of ``titles`` (key, title; one row per key) is the subject with
+    confidence 0.8 if it is a disease name. A subject equal to its object is dropped, as are types without a relation.
+    """
     cl = F.filter(text.clauses(F.col("sentence")), lambda c: c["start"] <= F.col("start"))
     s = spans.withColumn("clause", F.coalesce(F.array_max(F.transform(cl, lambda c: c["start"])), F.lit(0)))
     d = s.where("type = 'Disease'").select(key, "pos", F.col("term").alias("subject"), F.col("start").alias("s_start"), F.col("clause").alias("s_clause"), F.col("confidence").alias("s_conf"))
-    o = s.where("type <> 'Disease'").select(key, "pos", F.col("term").alias("object"), F.col("type").alias("object_type"), F.col("start").alias("o_start"), F.col("clause").alias("o_clause"), F.col("confidence").alias("o_conf"))
-    pairs = o.join(d, [key, "pos"]).withColumn("prio", F.when(F.col("s_clause") == F.col("o_clause"), 1).otherwise(2))
-    w = Window.partitionBy(key, "pos", "o_start", "object").orderBy("prio")
-    return pairs.withColumn("_r", F.dense_rank().over(w)).where("_r = 1").select(key, "pos", "subject", "object", "object_type", F.round(F.col("s_conf") * F.col("o_conf"), 4).alias("confidence"))
+    o = s.where(F.col("type").isin(*RELATION_OF) & (F.col("term") != "")).select(key, "pos", F.col("term").alias("object"), F.col("type").alias("object_type"), F.col("start").alias("o_start"), F.col("clause").alias("o_clause"), F.col("confidence").alias("o_conf"))
+    prio = F.when(F.col("s_clause") == F.col("o_clause"), 1).when(F.col("s_clause").isNotNull(), 2).otherwise(3)
+    pairs = o.join(d, [key, "pos"], "left").withColumn("prio", prio)
+    if titles is not None:
+        name = text.strip(F.col("title"))
+        t = titles.select(F.col(key).alias("_k"), name.alias("_title")).where(text.is_disease_title(F.col("_title")))
+        pairs = pairs.join(t, (F.col(key) == F.col("_k")) & (F.col("prio") == 3), "left")
+        pairs = pairs.withColumn("subject", F.coalesce("subject", "_title")).withColumn("s_conf", F.coalesce("s_conf", F.lit(0.8)))
+    w = Window.partitionBy(key, "pos", "o_start", "object", "object_type").orderBy("prio")
+    pairs = pairs.where("subject IS NOT NULL").withColumn("_r", F.dense_rank().over(w)).where("_r = 1 AND subject <> object")
+    rel = F.try_element_at(F.create_map(*(F.lit(x) for kv in RELATION_OF.items() for x in kv)), F.col("object_type"))
+    return pairs.select(key, "pos", "subject", "object", "object_type", F.round(F.col("s_conf") * F.col("o_conf"), 4).alias("confidence"), rel.alias("relation"))

@@ -375,6 +375,14 @@ def rule_layer_facts(spark, d):
     return extract.rule_facts(_d(spark, d), terms).select("doc_id", "subject", "relation", "object", "object_type", "confidence")
 
 
+@query()
+def span_facts(spark, d):
+    """Spans of the lexicon tagger, paired by clause, sentence or title."""
+    docs = _d(spark, d)
+    spans = extract.tag_spans(extract.sentence_rows(docs), extract.lexicon_tagger())
+    return extract.pair_spans(spans, titles=docs.select("doc_id", "title")).select("doc_id", "pos", "subject", "relation", "object", "object_type", "confidence")
+
+
 @query()
 def bio_labels(spark, d):
     parts = table(spark, d, "clc_r_categories").select(F.regexp_replace("clc_name", "(保健|病学|康复|药理|检验)$", "").alias("p")).distinct()

@@ -127,6 +127,42 @@ def test_pairing(spark):
     assert sorted((r.subject, r.object) for r in extract.pair_spans(df).collect()) == [("乙病", "发热"), ("甲病", "头痛")]
 
 
+SPAN = "doc_id long, pos int, sentence string, term string, type string, confidence double, start int"
+
+
+def test_pairing_falls_back_to_titles(spark):
+    rows = [(1, 0, "可见头痛", "头痛", "Symptom", 0.9, 2), (2, 0, "可见头痛", "头痛", "Symptom", 0.9, 2), (3, 0, "乙病，见发热", "乙病", "Disease", 0.9, 0), (3, 0, "乙病，见发热", "发热", "Symptom", 0.5, 4)]
+    rows += [(4, 0, "感染病", "感染病", "Disease", 0.9, 0), (4, 0, "感染病", "感染病", "RiskFactor", 0.9, 0), (1, 1, "甲病", "甲病", "RiskFactor", 0.9, 0)]
+    titles = spark.createDataFrame([(1, " 甲病 "), (2, "综述"), (3, "甲病"), (4, "甲病")], "doc_id long, title string")
+    got = extract.pair_spans(spark.createDataFrame(rows, SPAN), titles=titles).collect()
+    assert sorted((r.doc_id, r.subject, r.relation, r.object, r.confidence) for r in got) == [(1, "甲病", "HAS_SYMPTOM", "头痛", 0.72), (3, "乙病", "HAS_SYMPTOM", "发热", 0.45)]
+
+
+def test_pairing_of_whole_documents(spark, sf_dir):
+    import re
+
+    from quillgraph.plans import document_queries
+    from quillgraph.runtime import table
+
+    docs = table(spark, sf_dir, "documents")
+    titles = {r.doc_id: (r.title or "").strip() for r in docs.collect()}
+    sentences = {}
+    for r in extract.tag_spans(extract.sentence_rows(docs), extract.lexicon_tagger()).collect():
+        sentences.setdefault((r.doc_id, r.pos, r.sentence), []).append(r)
+    want, by_title = [], 0
+    for (doc, pos, sentence), spans in sentences.items():
+        clause = lambda x: len(re.findall(r"[，。；：、！？!?;,.]", sentence[: x.start]))  # noqa: B023, E731
+        diseases = [(x.term, x.confidence, clause(x)) for x in spans if x.type == "Disease"]
+        title = [(titles[doc], 0.8, -1)] if 2 <= len(titles[doc]) <= 20 and titles[doc].endswith(tuple(text.DISEASE_ENDS)) else []
+        for x in spans:
+            if x.type in extract.RELATION_OF:
+                pool = [y for y in diseases if y[2] == clause(x)] or diseases or title
+                by_title += not diseases and bool(title)
+                want += [(doc, pos, s, extract.RELATION_OF[x.type], x.term) for s, _, _ in pool if s != x.term]
+    got = [(r.doc_id, r.pos, r.subject, r.relation, r.object) for r in document_queries.Q["span_facts"](spark, sf_dir).collect()]
+    assert by_title and sorted(got) == sorted(want)
+
+
 def test_tagged_records(spark, tmp_path):
     (tmp_path / "a.txt").write_text("RT Journal Article\nA1 甲;乙\nT1 标题\nAB 摘要\n 续行\nYR 2020年\nDO https://doi.org/10.1/X\nCL R563\nER\nRT x\nT1 二\nAB\n丢弃\nER\n", encoding="gb18030")
     files = text_files.read_any_encoding(spark, str(tmp_path / "*.txt"))
