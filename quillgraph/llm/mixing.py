@@ -7,7 +7,8 @@ to, the last pass ending at the document whose middle lies nearest its share.
 
 The mix is interleaved by Pfair scheduling: each source's stream is cut into blocks of equal tokens, block ``j`` of a
 source of weight ``w`` is released at ``floor(j / w)`` and due by ``ceil((j + 1) / w)``, and each slot takes the released
-block with the earliest deadline, so after any slot every source is less than one block from its weight.
+block with the earliest deadline, so after any slot every source is less than one block from its weight. Blocks cover
+all passes: ``scheduled`` gives every use of a document its slot, ``mixed`` the slot of the first.
 
 Prefix sums over a source's documents are two-level (sums of hash buckets, then within a bucket), so a source that
 holds most rows is spread over all tasks. The schedule is a table of ``blocks`` rows, whatever the corpus holds.
@@ -73,8 +74,8 @@ def plan(totals: dict[str, int], mix: list[tuple[str, float, int]]) -> dict[str,
     return out
 
 
-def mixed(docs: DataFrame, mix: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, blocks: int = 8192, buckets: int = 1024, seed: int = 7) -> DataFrame:
-    """``doc_id, source, n_tokens, repeats, first_slot`` of the chosen documents."""
+def _chosen(docs: DataFrame, mix: DataFrame, vocabulary: str, blocks: int, buckets: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """The chosen documents with their places in the first pass, and the slot of each source's blocks."""
     spark = docs.sparkSession
     rows = mix.select("source", F.col("target_share").cast("double"), F.col("max_repeats").cast("int")).where("source IS NOT NULL").limit(MOST_SOURCES + 1).collect()
     if len(rows) > MOST_SOURCES:
@@ -97,11 +98,30 @@ def mixed(docs: DataFrame, mix: DataFrame, vocabulary: str = DEFAULT_VOCABULARY,
     d = d.withColumn("within", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(sums, ["source", "bucket"])
     start = F.col("before") + F.col("within")
     d = d.withColumn("start", start).withColumn("repeats", (F.col("passes") + F.when(F.col("start") + F.col("n_tokens") / 2 <= F.col("rest"), 1).otherwise(0)).cast("int"))
-    last_block = F.greatest(F.lit(0), F.floor(F.col("start") / F.col("block")))
-    d = d.where("repeats > 0").withColumn("block_no", last_block)
     ends = spark.createDataFrame([(s, n - 1) for s, n in counts.items()], "source string, last long")
-    d = d.join(F.broadcast(ends), "source").withColumn("block_no", F.least("block_no", "last"))
-    return d.join(F.broadcast(slots), ["source", "block_no"]).select("doc_id", "source", "n_tokens", "repeats", F.col("slot").alias("first_slot"))
+    return d.where("repeats > 0").join(F.broadcast(ends), "source"), slots
+
+
+def _in_slots(uses: DataFrame, slots: DataFrame) -> DataFrame:
+    """``uses`` with the slot of the block that holds their ``place``."""
+    block = F.least(F.greatest(F.lit(0), F.floor(F.col("place") / F.col("block"))), F.col("last"))
+    return uses.withColumn("block_no", block).join(F.broadcast(slots), ["source", "block_no"])
+
+
+def mixed(docs: DataFrame, mix: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, blocks: int = 8192, buckets: int = 1024, seed: int = 7) -> DataFrame:
+    """``doc_id, source, n_tokens, repeats, first_slot`` of the chosen documents."""
+    d, slots = _chosen(docs, mix, vocabulary, blocks, buckets, seed)
+    return _in_slots(d.withColumn("place", F.col("start")), slots).select("doc_id", "source", "n_tokens", "repeats", F.col("slot").alias("first_slot"))
+
+
+def scheduled(docs: DataFrame, mix: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, blocks: int = 8192, buckets: int = 1024, seed: int = 7) -> DataFrame:
+    """``doc_id, source, n_tokens, use, slot`` of every use of the chosen documents, ``max_repeats`` rows at most each.
+
+    Use ``k`` lies ``k - 1`` whole passes over its source behind the first.
+    """
+    d, slots = _chosen(docs, mix, vocabulary, blocks, buckets, seed)
+    uses = d.withColumn("use", F.explode(F.sequence(F.lit(1), F.col("repeats")))).withColumn("place", F.col("start") + (F.col("use") - 1) * F.col("tokens"))
+    return _in_slots(uses, slots).select("doc_id", "source", "n_tokens", "use", "slot")
 
 
 def shares(chosen: DataFrame, mix: DataFrame) -> DataFrame:

@@ -59,6 +59,10 @@ def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_mix"))
 
 
+def p8_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.scheduled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_mix"))
+
+
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(p8_mix(spark, sf_dir), table(spark, sf_dir, "source_mix"))
 
@@ -76,6 +80,7 @@ QUERIES = {
     "p6_found": p6_found,
     "p8_mix": p8_mix,
     "p8_shares": p8_shares,
+    "p8_schedule": p8_schedule,
     "p9_stats": p9_stats,
     "p9_found": p9_found,
     "p1_found": p1_found,

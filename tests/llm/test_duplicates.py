@@ -193,3 +193,23 @@ def test_mix(spark):
     assert mixing.mixed(docs.limit(0), mix).count() == 0
     with pytest.raises(ValueError):
         mixing.mixed(docs, mix.union(mix))
+
+
+def test_every_use_has_a_slot(spark):
+    """Repeats of a source fill its later slots, so every slice of the schedule holds the target shares."""
+    rnd = random.Random(8)
+    rows = [(i, "abbccc"[i % 6] if i % 9 else "a", "word " * rnd.randint(1, 30)) for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    mix = spark.createDataFrame([("a", 0.5, 3), ("b", 0.3, 4), ("c", 0.2, 4)], "source string, target_share double, max_repeats int")
+    chosen = {r.doc_id: r for r in mixing.mixed(docs, mix, blocks=200).collect()}
+    uses = mixing.scheduled(docs, mix, blocks=200).collect()
+    assert max(r.repeats for r in chosen.values()) > 1
+    assert sorted((r.doc_id, r.use) for r in uses) == sorted((d, k) for d, r in chosen.items() for k in range(1, r.repeats + 1))
+    assert all(r.slot == chosen[r.doc_id].first_slot for r in uses if r.use == 1)
+    last = max(r.slot for r in uses) + 1
+    for part in range(4):
+        n = Counter()
+        for r in uses:
+            if part * last <= 4 * r.slot < (part + 1) * last:
+                n[r.source] += r.n_tokens
+        assert all(n[s] / sum(n.values()) == pytest.approx(w, abs=0.03) for s, w in (("a", 0.5), ("b", 0.3), ("c", 0.2)))
