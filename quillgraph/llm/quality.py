@@ -2,7 +2,7 @@
 
 One Arrow pass gives each document's statistics; mergeable KLL sketches of every statistic per language follow by one
 small aggregation (partial sketches merge map-side), and joining one row of sketches per language back gives
-percentiles and robust z-scores, by which distribution tails are flagged:
+percentiles and robust z-scores, by which distribution tails are flagged (NULL: no tail):
 
 * ``n_words``       words: runs of letters or digits, each Han character by itself
 * ``mean_word_len`` characters per run of letters or digits (Han characters count 1)
@@ -11,9 +11,9 @@ percentiles and robust z-scores, by which distribution tails are flagged:
 * ``common_share``  share of words that are common words of the language
 * ``prose_share``   share of non-blank characters in sentences (headings between them are left out)
 
-A text is no natural prose where ``prose_share`` lies in the lower tail of its language: a robust z-score of at most
--``tail``. The score's scale is never taken below ``least_scale``, so a language of nearly pure prose still needs half
-of a text outside sentences.
+A text is no natural prose where at least half of it lies outside sentences, whatever its language: a fixed rule on
+``prose_share``. The robust z-score beside it has the sketches' spread as its scale, never below ``least_scale``; each
+statistic's ``_tail`` is low or high where its own robust z-score reaches ``tail``. Scores and tails decide no case.
 
 Defined cases: NULL, empty and blank texts have NULL statistics and are no cases; NULL language is a language of its
 own; a text without any letter has prose share 0; repeated rows are rated each; lines may be of any length.
@@ -33,6 +33,9 @@ from ..runtime import materialize
 
 STATS = ("n_words", "mean_word_len", "symbol_ratio", "punct_lines", "common_share", "prose_share")
 
+# Fixed value: the share of a text that lies in sentences, which prose exceeds.
+LEAST_PROSE = 0.5
+
 _HAN = "㐀-䶿一-鿿豈-﫿"
 _WORD = re.compile(f"[{_HAN}]|[^\\W_{_HAN}]+")
 _HAN_CHAR = re.compile(f"[{_HAN}]")
@@ -204,15 +207,19 @@ def language_sketches(stats: DataFrame, k: int = 400) -> DataFrame:
 
 
 def rate(stats: DataFrame, least_scale: float = 0.1, tail: float = 5.0) -> DataFrame:
-    """Statistics with each one's percentile in its language, robust z-score of the prose share, and ``is_prose``."""
+    """Statistics with each one's percentile and tail in its language, robust z-score of the prose share, and ``is_prose``."""
     stats = materialize(stats, "text-stats")
     langs = language_sketches(stats).withColumnRenamed("lang", "of_lang")
     joined = stats.join(langs, stats["lang"].eqNullSafe(langs["of_lang"]), "left")
     below = lambda s: F.size(F.filter(s + "_grid", lambda v: v <= F.col(s)))
     pct = [F.when(F.col(s).isNotNull(), F.greatest(below(s) - 1, F.lit(0)) / 100).alias(s + "_pct") for s in STATS]
-    # the sketches' spread sets the scale while it is small; where prose is no clear majority it says nothing of prose
-    spread = 1.4826 * F.col("prose_share_mad")
-    usable = (F.col("prose_share_median") >= 0.9) & (spread <= least_scale)
+    spread = lambda s: 1.4826 * F.col(s + "_mad")
+    # where prose is no clear majority the sketches say nothing of prose
+    usable = (F.col("prose_share_median") >= 0.9) & (spread("prose_share") <= least_scale)
     centre = F.when(usable, F.col("prose_share_median")).otherwise(F.lit(1.0))
-    z = (F.col("prose_share") - centre) / F.lit(least_scale)
-    return joined.select(*stats.columns, *pct, z.alias("prose_z")).withColumn("is_prose", F.col("prose_z") > -tail)
+    z = (F.col("prose_share") - centre) / F.greatest(F.lit(least_scale), spread("prose_share"))
+    # a statistic that hardly varies is measured by a tenth of its median
+    scale = lambda s: F.greatest(spread(s), F.abs(F.col(s + "_median")) / 10, F.lit(1e-9))
+    away = lambda s: (F.col(s) - F.col(s + "_median")) / scale(s)
+    tails = [F.when(away(s) <= -tail, "low").when(away(s) >= tail, "high").alias(s + "_tail") for s in STATS]
+    return joined.select(*stats.columns, *pct, *tails, z.alias("prose_z")).withColumn("is_prose", F.col("prose_share") > LEAST_PROSE)

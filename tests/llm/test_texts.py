@@ -88,6 +88,17 @@ def test_prose(spark):
     assert quality.rate(quality.text_stats(df.limit(0), words)).count() == 0
 
 
+def test_half_outside_sentences_is_no_prose(spark):
+    """In a language whose median is 0.9 too; tails of the other statistics are flagged."""
+    rows = [(i, "zh", 90.0 + i % 5, 1.0, 0.1, 1.0, 0.3, 0.9) for i in range(100)]
+    rows += [(100, "zh", 92.0, 1.0, 0.1, 1.0, 0.3, 0.45), (101, "zh", 92.0, 1.0, 0.9, 1.0, 0.3, 0.5), (102, "zh", 900.0, 1.0, 0.1, 0.0, 0.3, 0.51)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, " + ", ".join(f"{s} double" for s in quality.STATS))
+    r = {x.doc_id: x for x in quality.rate(df).collect()}
+    assert {i for i, x in r.items() if not x.is_prose} == {100, 101}
+    assert (r[101].symbol_ratio_tail, r[102].n_words_tail, r[102].punct_lines_tail) == ("high", "high", "low")
+    assert r[0].n_words_tail is None and r[100].symbol_ratio_tail is None
+
+
 def test_statistics_of_one_text():
     m = quality.ProseMeter(["the", "在"])
     n, mean, symbols, ends, common, prose = m.stats("The ab。\n在 c-d")
