@@ -155,6 +155,31 @@ def test_records(spark):
     assert none == reference_records(sorted(set(records), key=lambda r: r[0]), [])
 
 
+def test_stored_history_grows_by_accepted_records(spark, tmp_path):
+    """Batches one after another against the stored table give what all runs at once give."""
+    rnd = random.Random(10)
+    pool = list(itertools.chain.from_iterable(family(rnd, 4, rnd.randint(70, 160), 10) for _ in range(20)))
+    rnd.shuffle(pool)
+    docs = [(i, f"doc_{i}", None, c) for i, c in enumerate(pool[:15])]
+    records = [(f"run_{1 + i // 22:03d}", f"r{rnd.randint(0, 60)}", None, json.dumps({"text": {"content": c}})) for i, c in enumerate(pool[15:])]
+    schema = "run_id string, document_id string, content_hash string, canonical_json string"
+    ddf = spark.createDataFrame(docs, "doc_id long, document_id string, content_hash string, content string")
+    increment.start_history(ddf, str(tmp_path / "h"))
+    got, sizes = set(), []
+    for run in sorted({r[0] for r in records}):
+        batch = spark.createDataFrame([r for r in records if r[0] == run], schema)
+        got |= {(r.run_id, r.document_id) for r in increment.extend_history(batch, str(tmp_path / "h")).collect()}
+        sizes.append(increment.stored_history(spark, str(tmp_path / "h"))[0].count())
+    assert got == reference_records(records, docs) and sizes[-1] > sizes[0] > len(docs)
+    signed, _ = increment.stored_history(spark, str(tmp_path / "h"))
+    assert signed.select("id").distinct().count() == signed.count()
+
+
+def test_bands_miss_few_pairs_at_the_threshold():
+    b = increment.BANDS
+    assert (1 - b.threshold**b.rows) ** b.bands <= (1 - 0.6**5) ** 48
+
+
 def test_pivots_never_prune_a_near_pair():
     rnd = random.Random(5)
     keys = list(itertools.chain.from_iterable(family(rnd, 4, rnd.randint(60, 400), 40) for _ in range(40)))
