@@ -67,6 +67,29 @@ def test_truncation(spark):
     assert truncation.truncated(docs(spark, [])).count() == 0
 
 
+def test_trigrams_decide(spark):
+    """The last trigram acquits a text without a closing mark and convicts one with it."""
+    whole = [f"{c}参见第{i % 7}号。附件另存。{d}" for i, (c, d) in enumerate(zip(corpus(300), corpus(300), strict=True))]
+    signed = [c[:-1] + "。记录到此为止" for c in corpus(150)]
+    opened = [c + "参见第3号。" for c in corpus(5)]
+    unsigned = [c[:-2] for c in corpus(5)]
+    found = {r.doc_id for r in truncation.truncated(docs(spark, whole + signed + opened + unsigned)).where("is_cut").collect()}
+    assert found == set(range(450, 460))
+
+
+def test_copies_of_a_cut_text_and_torn_words(spark):
+    """A third of all rows is one cut text; fragments of a word torn in several texts are no words of their own."""
+    whole = [c + f" The residents of ward {i} reported the changes." for i, c in enumerate(corpus(400))]
+    copies = [corpus(1)[0] + "第3日后再次就"] * 200
+    torn = [c + " The residents of ward 4 repor" for c in corpus(12)]
+    rows = whole + copies + torn
+    df = docs(spark, rows)
+    found = [r.doc_id for r in truncation.truncated(df).where("is_cut").collect()]
+    assert sorted(found) == list(range(400, len(rows)))
+    none = df.withColumn("doc_id", F.expr("if(doc_id % 2 = 0, doc_id, null)"))
+    assert truncation.truncated(none).where("is_cut").count() == len(found)
+
+
 PROSE = "在医院登记的病例里，约有三成出现头痛，但是不需要手术。\n目前的检查没有显示其他问题，可以再观察七天。"
 JUNK = ["首页\n菜单\n帮助\n" * 20, "- 甲\n- 乙\n- 丙\n- 丁", "a\t1\t2\nb\t3\t4", "| a | 1 |\n|---|---|\n| b | 2 |", "。" * 80, "xqzkvbnm trwplk " * 20, PROSE.encode().decode("latin-1"), "甲病，乙症，丙炎，丁瘤，戊癌，己痛，庚热", "c0=a; c1=1\nc0=b; c1=2", "测试文本 " * 40]
 GOOD = [PROSE, "概述\n" + PROSE, "问：" + PROSE.replace("\n", "\n答："), PROSE + "\n- 甲病\n- 乙症", "他在医院里。", "The patient was seen in the ward and did not need the drug.", "第一次检查的结果没有变化，可以在一周以后\n再次到医院做检查，目前不需要其他的治疗，\n但是应注意休息。"]
