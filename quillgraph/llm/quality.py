@@ -1,22 +1,27 @@
 """Per-document text quality statistics and natural prose.
 
-One Arrow pass gives each document's statistics; mergeable KLL sketches of every statistic per language follow by one
-small aggregation (partial sketches merge map-side), and joining one row of sketches per language back gives
-percentiles and robust z-scores, by which distribution tails are flagged (NULL: no tail):
+Built-in functions give each document's statistics in one pass; mergeable KLL sketches of every statistic per language
+follow by one small aggregation (partial sketches merge map-side), and merging the languages' sketches gives those of
+the whole corpus. One row of quantiles per language is joined back for percentiles and robust z-scores, by which
+distribution tails are flagged (NULL: no tail):
 
 * ``n_words``       words: runs of letters or digits, each Han character by itself
 * ``mean_word_len`` characters per run of letters or digits (Han characters count 1)
 * ``symbol_ratio``  share of non-blank characters that are neither letter nor digit
 * ``punct_lines``   share of non-blank lines that end in a sentence mark
-* ``common_share``  share of words that are common words of the language
-* ``prose_share``   share of non-blank characters in sentences (headings between them are left out)
+* ``common_share``  share of words that are common words of the language (of any language where it has none listed)
+* ``bare_share``    share of characters in pieces between sentence marks and line ends that hold no common word
 
-A text is no natural prose where at least half of it lies outside sentences, whatever its language: a fixed rule on
-``prose_share``. The robust z-score beside it has the sketches' spread as its scale, never below ``least_scale``; each
-statistic's ``_tail`` is low or high where its own robust z-score reaches ``tail``. Scores and tails decide no case.
+The tails select the texts that can be no natural prose: a statistic far from its language's median, or, so that a
+language of few documents has a measure too, a low common share or high bare share by the whole corpus. A z-score's
+scale is the sketch's distance from the median to the nearer quartile (the other side may be full of junk), never below
+a tenth of the median or ``least_scale``. Texts in a tail are then measured exactly, line by line: ``prose_share`` is
+the share of their non-blank characters in sentences (headings between them are left out), and a text is no natural
+prose where at least half of it lies outside sentences. Texts in no tail are natural prose.
 
 Defined cases: NULL, empty and blank texts have NULL statistics and are no cases; NULL language is a language of its
-own; a text without any letter has prose share 0; repeated rows are rated each; lines may be of any length.
+own; a text without any letter has prose share 0; repeated rows are rated each; lines may be of any length. The tables
+of common words are bounded (``MOST_WORDS``); a longer one is an error.
 """
 
 from __future__ import annotations
@@ -26,17 +31,19 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import materialize
 
-STATS = ("n_words", "mean_word_len", "symbol_ratio", "punct_lines", "common_share", "prose_share")
+STATS = ("n_words", "mean_word_len", "symbol_ratio", "punct_lines", "common_share", "bare_share")
+MOST_WORDS = 5_000
 
 # Fixed value: the share of a text that lies in sentences, which prose exceeds.
 LEAST_PROSE = 0.5
 
 _HAN = "㐀-䶿一-鿿豈-﫿"
+_LETTER = f"[\\p{{L}}\\p{{N}}&&[^{_HAN}]]"  # Java
 _WORD = re.compile(f"[{_HAN}]|[^\\W_{_HAN}]+")
 _HAN_CHAR = re.compile(f"[{_HAN}]")
 # List marks, table signs and the marks that end a sentence.
@@ -155,71 +162,126 @@ class ProseMeter:
             good += n if ok else 0
         return good, total
 
-    def stats(self, text: str | None) -> tuple | None:
-        if text is None or not text.strip():
-            return None
-        words = _WORD.findall(text)
-        packed = "".join(text.split())
-        letters = sum(map(str.isalnum, packed))
-        lines = [s for s in (x.strip() for x in text.splitlines()) if s]
-        ended = sum(s.rstrip("”’」』\"')） ")[-1:] in _SENTENCE_MARKS and bool(s) for s in lines)
-        common = sum(len(x) if _HAN_CHAR.search(x) else 1 for x in self.han_pattern.findall(text))
-        common += sum(w.lower() in self.common for w in words if not _HAN_CHAR.match(w))
+    def share(self, text: str) -> float:
+        """Share of the non-blank characters that lie in sentences."""
         good, total = self.prose_chars(text)
-        return (
-            float(len(words)),
-            sum(map(len, words)) / len(words) if words else 0.0,
-            1.0 - letters / len(packed),
-            ended / len(lines) if lines else 0.0,
-            common / len(words) if words else 0.0,
-            good / total if total else 0.0,
-        )
+        return good / total if total else 0.0
 
 
-def text_stats(docs: DataFrame, common: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, lang`` and the statistics of every document. ``common`` is the fixed table of common words."""
-    words = [r.word for r in common.select("word").where("word IS NOT NULL").distinct().limit(100_000).collect()]
-    kind = dict(docs.dtypes)[key]
+def common_words(common: DataFrame) -> dict[str | None, list[str]]:
+    """The bounded table of common words by language."""
+    rows = common.select(F.col("lang").cast("string"), F.col("word").cast("string")).where("word <> ''").distinct().limit(MOST_WORDS + 1).collect()
+    if len(rows) > MOST_WORDS:
+        raise ValueError(f"at most {MOST_WORDS} common words")
+    out: dict[str | None, list[str]] = {}
+    for r in rows:
+        out.setdefault(r.lang, []).append(r.word)
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        meter = ProseMeter(words)
-        for b in batches:
-            rows = [meter.stats(t) for t in b.column("t").to_pylist()]
-            cols = [pa.array([r[i] if r else None for r in rows], pa.float64()) for i in range(len(STATS))]
-            yield pa.RecordBatch.from_arrays([b.column("k"), b.column("lang"), *cols], ["k", "lang", *STATS])
 
-    src = docs.select(F.col(key).alias("k"), F.col("lang").cast("string").alias("lang"), F.col(text).cast("string").alias("t"))
-    return src.mapInArrow(run, f"k {kind}, lang string, " + ", ".join(f"{s} double" for s in STATS)).withColumnRenamed("k", key)
+def _choice(words: list[str]) -> str:
+    """Java pattern of any of ``words``, the longest first, or of nothing."""
+    return "|".join(f"\\Q{w}\\E" for w in sorted(set(words), key=lambda w: (-len(w), w))) or "(?!)"
 
 
-def language_sketches(stats: DataFrame, k: int = 400) -> DataFrame:
-    """One row per language: of every statistic's merged quantile sketch the percentiles, median and spread."""
-    sk = stats.where(F.col("prose_share").isNotNull()).groupBy("lang").agg(*(F.kll_sketch_agg_double(s, F.lit(k)).alias(s + "_sketch") for s in STATS))
+def _patterns(words: list[str]) -> tuple[str, str]:
+    """Java patterns of the common words in Han characters, which stand unspaced, and of all others."""
+    return _choice([w for w in words if _HAN_CHAR.search(w)]), f"(?iu)(?<!{_LETTER})(?:{_choice([w for w in words if not _HAN_CHAR.search(w)])})(?!{_LETTER})"
+
+
+def _common_count(text: Column, words: list[str]) -> Column:
+    han, other = _patterns(words)
+    return F.length(text) - F.length(F.regexp_replace(text, han, "")) + F.regexp_count(text, F.lit(other))
+
+
+def text_stats(docs: DataFrame, common: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, lang``, the statistics and the text of every document. ``common`` is the fixed table of common words."""
+    by_lang = common_words(common)
+    every = [w for words in by_lang.values() for w in words]
+    t = F.col("text")
+    src = docs.select(F.col(key).alias(key), F.col("lang").cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
+    written = F.when(t.rlike(r"\S"), t)
+    packed = F.length(F.regexp_replace(written, r"\s+", "")).cast("double")
+    letters = F.length(F.regexp_replace(written, r"[^\p{L}\p{N}]+", "")).cast("double")
+    n_words = F.regexp_count(written, F.lit(f"[{_HAN}]|{_LETTER}+")).cast("double")
+    found = _common_count(written, every)
+    for lang, words in by_lang.items():
+        if lang is not None:
+            found = F.when(F.col("lang") == lang, _common_count(written, words)).otherwise(found)
+    lines = F.regexp_extract_all(written, F.lit(r"[^\s][^\n\r]*"), F.lit(0))
+    ended = F.size(F.filter(lines, lambda s: s.rlike("[。！？!?.…．][”’」』\"')） ]*$")))
+    han, other = _patterns(every)
+    pieces = F.split(written, r"[。！？!?．\n\r]+|(?<=[a-z)])\. ")
+    bare = F.aggregate(F.filter(pieces, lambda s: ~(s.rlike(han) | s.rlike(other))), F.lit(0), lambda n, s: n + F.length(s))
+    share = lambda a, b: F.coalesce(F.try_divide(a, b), F.when(written.isNotNull(), F.lit(0.0)))
+    return src.select(
+        key,
+        "lang",
+        n_words.alias("n_words"),
+        share(letters, n_words).alias("mean_word_len"),
+        (1 - share(letters, packed)).alias("symbol_ratio"),
+        share(ended.cast("double"), F.size(lines)).alias("punct_lines"),
+        share(found.cast("double"), n_words).alias("common_share"),
+        share(bare.cast("double"), F.length(F.array_join(pieces, ""))).alias("bare_share"),
+        "text",
+    )
+
+
+def _quantiles(sketches: DataFrame, *keys: str) -> DataFrame:
+    """Of every statistic's sketch the percentiles, the median and the distance to the nearer quartile."""
     q = lambda s, p: F.kll_sketch_get_quantile_double(s + "_sketch", F.lit(p))
     grid = F.array(*(F.lit(i / 100) for i in range(101)))
-    # half the distance of the quartiles stands for the median absolute deviation
-    return sk.select(
-        "lang",
+    return sketches.select(
+        *keys,
         *(F.kll_sketch_get_quantile_double(s + "_sketch", grid).alias(s + "_grid") for s in STATS),
         *(q(s, 0.5).alias(s + "_median") for s in STATS),
-        *(((q(s, 0.75) - q(s, 0.25)) / 2).alias(s + "_mad") for s in STATS),
+        *(F.least(q(s, 0.75) - q(s, 0.5), q(s, 0.5) - q(s, 0.25)).alias(s + "_spread") for s in STATS),
     )
 
 
-def rate(stats: DataFrame, least_scale: float = 0.1, tail: float = 5.0) -> DataFrame:
-    """Statistics with each one's percentile and tail in its language, robust z-score of the prose share, and ``is_prose``."""
-    stats = materialize(stats, "text-stats")
-    langs = language_sketches(stats).withColumnRenamed("lang", "of_lang")
-    joined = stats.join(langs, stats["lang"].eqNullSafe(langs["of_lang"]), "left")
+def language_sketches(stats: DataFrame, k: int = 400) -> DataFrame:
+    """One row per language with a mergeable quantile sketch of every statistic."""
+    return stats.where(F.col("n_words").isNotNull()).groupBy("lang").agg(*(F.kll_sketch_agg_double(s, F.lit(k)).alias(s + "_sketch") for s in STATS))
+
+
+def tails(stats: DataFrame, sketches: DataFrame, tail: float = 3.0, least_scale: float = 0.02) -> DataFrame:
+    """``stats`` with each statistic's percentile (``_pct``), robust z-score (``_z``) and tail (``_tail``) in its
+    language, and whether the tails select the text (``in_tail``)."""
+    langs = _quantiles(sketches, "lang").withColumnRenamed("lang", "of_lang")
+    merged = sketches.agg(F.count("*").alias("n_langs"), *(F.kll_merge_agg_double(s + "_sketch").alias(s + "_sketch") for s in STATS))
+    whole = _quantiles(merged.where("n_langs > 0"))
+    whole = whole.select(*(F.col(c).alias("all_" + c) for c in whole.columns if not c.endswith("_grid")))
+    joined = stats.join(langs, stats["lang"].eqNullSafe(langs["of_lang"]), "left").join(F.broadcast(whole), F.lit(True), "left")  # one row at most
     below = lambda s: F.size(F.filter(s + "_grid", lambda v: v <= F.col(s)))
     pct = [F.when(F.col(s).isNotNull(), F.greatest(below(s) - 1, F.lit(0)) / 100).alias(s + "_pct") for s in STATS]
-    spread = lambda s: 1.4826 * F.col(s + "_mad")
-    # where prose is no clear majority the sketches say nothing of prose
-    usable = (F.col("prose_share_median") >= 0.9) & (spread("prose_share") <= least_scale)
-    centre = F.when(usable, F.col("prose_share_median")).otherwise(F.lit(1.0))
-    z = (F.col("prose_share") - centre) / F.greatest(F.lit(least_scale), spread("prose_share"))
-    # a statistic that hardly varies is measured by a tenth of its median
-    scale = lambda s: F.greatest(spread(s), F.abs(F.col(s + "_median")) / 10, F.lit(1e-9))
-    away = lambda s: (F.col(s) - F.col(s + "_median")) / scale(s)
-    tails = [F.when(away(s) <= -tail, "low").when(away(s) >= tail, "high").alias(s + "_tail") for s in STATS]
-    return joined.select(*stats.columns, *pct, *tails, z.alias("prose_z")).withColumn("is_prose", F.col("prose_share") > LEAST_PROSE)
+
+    def z(s: str, of: str = "") -> Column:
+        median = F.col(of + s + "_median")
+        return (F.col(s) - median) / F.greatest(1.4826 * F.col(of + s + "_spread"), F.abs(median) / 10, F.lit(least_scale))
+
+    flags = [F.when(z(s) <= -tail, "low").when(z(s) >= tail, "high") for s in STATS]
+    far = (z("common_share", "all_") <= -tail) | (z("bare_share", "all_") >= tail)
+    for f in flags:
+        far = far | f.isNotNull()
+    named = [f.alias(s + "_tail") for s, f in zip(STATS, flags, strict=True)]
+    return joined.select(*stats.columns, *pct, *(z(s).alias(s + "_z") for s in STATS), *named, F.coalesce(far, F.lit(False)).alias("in_tail"))
+
+
+def rate(stats: DataFrame, common: DataFrame, tail: float = 3.0) -> DataFrame:
+    """Statistics with percentiles, z-scores and tails, the ``prose_share`` of texts in a tail, and ``is_prose``."""
+    stats = materialize(stats, "text-stats")
+    rated = tails(stats, language_sketches(stats), tail)
+    words = [w for by in common_words(common).values() for w in by]
+    kept = [c for c in rated.columns if c != "text"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        meter = ProseMeter(words)
+        for b in batches:
+            shares = [meter.share(t) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(shares, pa.float64())], [*kept, "prose_share"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rated.schema if f.name != "text") + ", prose_share double"
+    measured = rated.where("in_tail").mapInArrow(run, schema)
+    others = rated.where("NOT in_tail").drop("text").withColumn("prose_share", F.lit(None).cast("double"))
+    is_prose = F.when(F.col("n_words").isNotNull(), F.coalesce(F.col("prose_share") > LEAST_PROSE, F.lit(True)))
+    return measured.unionByName(others).withColumn("is_prose", is_prose)

@@ -68,7 +68,8 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.rate(quality.text_stats(table(spark, sf_dir, "documents"), table(spark, sf_dir, "common_words")))
+    common = table(spark, sf_dir, "common_words")
+    return quality.rate(quality.text_stats(table(spark, sf_dir, "documents"), common), common)
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:

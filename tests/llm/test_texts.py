@@ -99,7 +99,7 @@ def test_prose(spark):
     words = spark.createDataFrame([("zh", w) for w in "的 在 有 但 是 约 可以 目前 其他 没有 里 后 再 不 需要 应 注意".split()] + [("en", w) for w in "the was in and not did".split()], "lang string, word string")
     rows = [(i, "zh" if i % 3 else None, t, 1) for i, t in enumerate(GOOD * 3 + JUNK + [None, "", " \n "])]
     df = spark.createDataFrame(rows, "doc_id long, lang string, text string, n_words int")
-    rated = {r.doc_id: r for r in quality.rate(quality.text_stats(df, words)).collect()}
+    rated = {r.doc_id: r for r in quality.rate(quality.text_stats(df, words), words).collect()}
     assert len(rated) == len(rows)
     for i, _, t, _ in rows:
         r = rated[i]
@@ -108,24 +108,54 @@ def test_prose(spark):
         else:
             assert r.is_prose == (t in GOOD), (t, r)
             assert 0 <= r.symbol_ratio_pct <= 1
-    assert quality.rate(quality.text_stats(df.limit(0), words)).count() == 0
+    assert quality.rate(quality.text_stats(df.limit(0), words), words).count() == 0
+
+
+def stat_rows(spark, n, **odd):
+    """``n`` alike documents of one language and one odd document."""
+    base = {"n_words": 90.0, "mean_word_len": 1.0, "symbol_ratio": 0.1, "punct_lines": 1.0, "common_share": 0.3, "bare_share": 0.0}
+    rows = [(i, "zh", *(v * (1 + i % 5 / 100) for v in base.values()), JUNK[3]) for i in range(n)] + [(n, "zh", *(base | odd).values(), JUNK[3])]
+    return spark.createDataFrame(rows, "doc_id long, lang string, " + ", ".join(f"{s} double" for s in quality.STATS) + ", text string")
+
+
+def test_sketches_select_what_is_measured(spark):
+    """A text is measured where the sketches of its language flag a tail; other sketches select other rows."""
+    words = spark.createDataFrame([("zh", "的")], "lang string, word string")
+    odd = stat_rows(spark, 100, symbol_ratio=0.5)
+    r = {x.doc_id: x for x in quality.rate(odd, words).collect()}
+    assert [i for i, x in r.items() if x.is_prose is False] == [100] and r[100].prose_share == 0
+    assert (r[100].symbol_ratio_tail, r[100].n_words_tail, r[0].symbol_ratio_tail) == ("high", None, None) and r[100].symbol_ratio_pct == 1
+    wide = quality.language_sketches(odd.withColumn("symbol_ratio", F.col("doc_id") / 100))
+    assert quality.tails(odd, wide).where("in_tail").count() == 0
+    assert quality.tails(odd, quality.language_sketches(odd)).where("in_tail").count() == 1
+    alone = odd.where("doc_id < 100").union(spark.createDataFrame([(200, "xx", 50.0, 5.0, 0.1, 0.0, 0.0, 1.0, JUNK[3])], odd.schema))
+    assert [x.doc_id for x in quality.rate(alone, words).where("NOT is_prose").collect()] == [200]
 
 
 def test_half_outside_sentences_is_no_prose(spark):
-    """In a language whose median is 0.9 too; tails of the other statistics are flagged."""
-    rows = [(i, "zh", 90.0 + i % 5, 1.0, 0.1, 1.0, 0.3, 0.9) for i in range(100)]
-    rows += [(100, "zh", 92.0, 1.0, 0.1, 1.0, 0.3, 0.45), (101, "zh", 92.0, 1.0, 0.9, 1.0, 0.3, 0.5), (102, "zh", 900.0, 1.0, 0.1, 0.0, 0.3, 0.51)]
-    df = spark.createDataFrame(rows, "doc_id long, lang string, " + ", ".join(f"{s} double" for s in quality.STATS))
-    r = {x.doc_id: x for x in quality.rate(df).collect()}
-    assert {i for i, x in r.items() if not x.is_prose} == {100, 101}
-    assert (r[101].symbol_ratio_tail, r[102].n_words_tail, r[102].punct_lines_tail) == ("high", "high", "low")
-    assert r[0].n_words_tail is None and r[100].symbol_ratio_tail is None
+    words = spark.createDataFrame([("zh", w) for w in "在 有 但 是 不 需要".split()], "lang string, word string")
+    prose = ["患者在第" + d + "天有不同的表现。\n" for d in "一二三四五六七八九"]
+    rows = [(i, "zh", "".join(prose)) for i in range(40)] + [(100, "zh", "".join(prose[:3]) + "- 甲乙丙丁戊己庚辛壬癸甲乙丙\n" * 3), (101, "zh", "".join(prose[:4]) + "- 甲乙丙丁戊己庚辛壬癸甲乙\n" * 3)]
+    df = spark.createDataFrame([*rows, (102, "zh", "患者在" + "".join(f"第{i}天有表现，" for i in range(40)) + "但是不需要。")], "doc_id long, lang string, text string")
+    r = {x.doc_id: x for x in quality.rate(quality.text_stats(df, words), words).collect()}
+    assert {i for i, x in r.items() if not x.is_prose} == {100} and r[101].in_tail
+
+
+def test_common_words_are_bounded(spark):
+    words = spark.range(quality.MOST_WORDS + 1).select(F.lit("zh").alias("lang"), F.concat(F.lit("w"), F.col("id")).alias("word"))
+    with pytest.raises(ValueError):
+        quality.common_words(words)
 
 
-def test_statistics_of_one_text():
-    m = quality.ProseMeter(["the", "在"])
-    n, mean, symbols, ends, common, prose = m.stats("The ab。\n在 c-d")
-    assert (n, symbols, ends) == (5.0, pytest.approx(2 / 10), 0.5) and mean == pytest.approx(8 / 5) and common == pytest.approx(2 / 5) and 0 <= prose <= 1
+def test_statistics_of_one_text(spark):
+    words = spark.createDataFrame([("en", "the"), ("zh", "在"), ("zh", "但是"), (None, None), ("zh", "")], "lang string, word string")
+    rows = [(1, None, "The ab。\n在 c-d"), (2, "zh", "the 但是在甲"), (3, "en", "the 但是在甲"), (4, "fr", " \n"), (5, "zh", None), (6, "zh", "，，\n")]
+    r = {x.doc_id: x for x in quality.text_stats(spark.createDataFrame(rows, "doc_id long, lang string, text string"), words).collect()}
+    assert (r[1].n_words, r[1].symbol_ratio, r[1].punct_lines, r[1].bare_share) == (5.0, pytest.approx(2 / 10), 0.5, 0.0)
+    assert r[1].mean_word_len == pytest.approx(8 / 5) and r[1].common_share == pytest.approx(2 / 5)
+    assert r[2].common_share == pytest.approx(3 / 5) and r[3].common_share == pytest.approx(1 / 5)
+    assert r[4].n_words is None and r[5].bare_share is None and (r[6].n_words, r[6].symbol_ratio, r[6].bare_share) == (0.0, 1.0, 1.0)
+    assert 0 <= quality.ProseMeter(["the", "在"]).share("The ab。") <= 1
 
 
 TEXTS = ["", None, "hello world", "<|endoftext|> x", "aaaaaaaaaaaaaaaa   \n\n  b", "我们" * 700, "𠀀𠀁 x", "\t\t  ", "I'll don't we've 123 ———/(&;~*", "─" * 40 + "┼" + "─" * 9, "é" * 31, " " * 50, "x" * 20_000]
@@ -171,5 +201,5 @@ def test_long_texts_take_time_in_proportion(spark):
     assert len(got) == len(texts) and got[60] and got[61]
     words = spark.createDataFrame([("zh", "的")], "lang string, word string")
     df = spark.createDataFrame([(i, "zh", t) for i, t in enumerate(long)], "doc_id long, lang string, text string")
-    assert quality.rate(quality.text_stats(df, words)).count() == len(long)
+    assert quality.rate(quality.text_stats(df, words), words).count() == len(long)
     assert canonical.canonicalize(values(spark, long)).count() == 0
