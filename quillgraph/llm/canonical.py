@@ -6,17 +6,21 @@ word. Everything else (Chinese punctuation, full-width marks, composed accents,
 
 The operator ``canonicalize`` works on long (table_name, row_key, field_name, value) rows:
 
-1. one pass keeps the values that hold any such character and lists their mixed-script tokens;
-2. clean Latin words of all values are counted, joined by *skeleton* to the mixed tokens only, and both are
-   co-grouped in buckets of the skeleton's hash, where a trie of the bucket's words is traversed by a weighted edit
-   automaton (look-alikes and ignorables cost 0, a change of case 1) that selects each token's spelling;
-3. the values are rebuilt from those spellings; tokens without a match go through the table.
-
-Vocabulary and tokens are never gathered on the driver; a bucket holds the distinct words of some skeletons only.
+1. one pass keeps the values that hold any such character and lists their tokens with letters that are not plain Latin;
+2. clean Latin words of all values are counted, joined by *skeleton* (what a word looks like) to these tokens only, and
+   both are co-grouped in buckets of the skeleton's hash, where a trie of the bucket's words is traversed over the raw
+   token by a weighted edit automaton: look-alikes and ignorable characters cost nothing, whatever their reading, and a
+   letter that looks like a small capital costs 1 up to a budget; of the words reached the cheapest is selected, then
+   the most frequent;
+3. the values are rebuilt from those spellings; tokens without a match go through the table, as do all signs outside
+   tokens. A value is changed if what is rebuilt differs from it.
+
+A look-alike may be read in several ways (an upsilon as u, v or y), of which the table knows one: there the vocabulary
+decides. Vocabulary and tokens are never gathered on the driver; a bucket holds the distinct words of some skeletons.
 ``canonical_text`` is the table form for one string, used wherever texts are compared.
 
 Defined cases: NULL stays NULL and is never changed, empty texts stay empty; a tab or line break is white space of
-the layout and no look-alike of a space.
+the layout and no look-alike of a space; a token that no word spells and that has no Latin letter (a Greek name) stays.
 """
 
 from __future__ import annotations
@@ -41,9 +45,18 @@ LOOKALIKES = dict(
         strict=True,
     )
 )
-# Radical signs without a compatibility mapping of their own.
-RADICALS = dict(zip("⺠⺟⻢⻛⻓⻋⻔⻅⻉⻚⻄⻘⻝⻠⻤⻥⻦⻨⻩⻬⻮⻰", "民母马风长车门见贝页西青食饣鬼鱼鸟麦黄齐齿龙", strict=False))
-
+# The other readings of look-alike letters, and Cyrillic letters that look like small capitals.
+READINGS = {"υ": "vy", "ν": "u", "ι": "l", "Ι": "l", "І": "l"}
+SMALL_CAPITALS = {"в": "B", "к": "Kk", "м": "M", "н": "H", "т": "T"}
+# Radical signs without a compatibility mapping and the ideographs they are equivalent to.
+RADICALS = dict(
+    zip(
+        "⺁⺂⺃⺄⺅⺆⺇⺈⺉⺊⺋⺌⺍⺎⺏⺐⺑⺒⺓⺔⺕⺖⺗⺘⺙⺛⺜⺝⺞⺟⺠⺡⺢⺣⺤⺥⺦⺧⺨⺩⺪⺫⺬⺭⺮⺯⺰⺱⺲⺳⺴⺵⺶⺷⺸⺹⺺⺻⺼⺽⺾⺿⻀⻁⻂⻃⻄⻅⻆⻇⻈⻉⻊⻋⻌⻍⻎⻏⻐⻑⻒⻓⻔⻕⻖⻗⻘⻙⻚⻛⻜⻝⻞⻟⻠⻡⻢⻣⻤⻥⻦⻧⻨⻩⻪⻫⻬⻭⻮⻯⻰⻱⻲",
+        "厂乛乚乙亻冂𠘨刀刂卜㔾小小兀尣尢𡯂巳幺彑彐忄㣺扌攵旡日月歺母民氵氺灬爫爫丬牛犭王疋目示礻竹糹纟罓罒㓁网罒羊羊羊耂肀聿肉臼艹艹艹虎衤覀西见角角讠贝足车辶辶辶邑钅長镸长门阜阝雨青韦页风飞食食飠饣首马骨鬼鱼鸟卤麦黄黾斉齐歯齿竜龙龜亀",
+        strict=True,
+    )
+)
+RADICALS["⻳"] = "龟"
 
 
 def _class(*ranges: tuple[int, int]) -> str:
@@ -58,9 +71,10 @@ FULLWIDTH = _class((0xFF10, 0xFF19), (0xFF21, 0xFF3A), (0xFF41, 0xFF5A))
 RADICAL_SIGNS = _class((0x2E80, 0x2EF3), (0x2F00, 0x2FD5))
 ACCENTS = _class((0x300, 0x36F))
 _OTHER = "".join(LOOKALIKES)
+_SMALL = "".join(SMALL_CAPITALS)
 _LATIN = "A-Za-z" + _class((0xC0, 0xD6), (0xD8, 0xF6), (0xF8, 0x24F))
 
-SUSPECT_CLASS = f"[{FULLWIDTH}{ACCENTS}{INVISIBLE}{SPACES}{RADICAL_SIGNS}{_OTHER}]"
+SUSPECT_CLASS = f"[{FULLWIDTH}{ACCENTS}{INVISIBLE}{SPACES}{RADICAL_SIGNS}{_OTHER}{_SMALL}]"
 _SUSPECT = re.compile(SUSPECT_CLASS)
 _PLAIN_WIDTH = {ord(c): ord(c) - 0xFEE0 for a, b in re.findall("(.)-(.)", FULLWIDTH) for c in map(chr, range(ord(a), ord(b) + 1))}
 
@@ -91,20 +105,28 @@ def _char_table() -> dict[int, int | str | None]:
 _CHARS = _char_table()
 _LOOK = {ord(a): b for a, b in LOOKALIKES.items()}
 _TOKEN = re.compile(f"[{_LATIN}{ACCENTS}{_OTHER}]*[{_OTHER}][{_LATIN}{ACCENTS}{_OTHER}]*")
+#: Runs of characters that a Latin word may be written with, and the characters among them that no clean word has.
+_RAW_TOKEN = re.compile(f"[{_LATIN}{FULLWIDTH}{ACCENTS}{INVISIBLE}{_OTHER}{_SMALL}]{{2,}}")
+_RAW_SIGN = re.compile(f"[{FULLWIDTH}{ACCENTS}{INVISIBLE}{_OTHER}{_SMALL}]")
 _HAS_LATIN = re.compile(f"[{_LATIN}]")
+_OTHER_LETTER = re.compile("[\u0370-\u03FF\u0400-\u052F]")
 _HAS_ACCENT = re.compile(f"[{ACCENTS}]")
 _NOT_ALNUM = re.compile(r"[\W_]+")
 
 
-def _is_word(token: str) -> bool:
-    """A token to be spelled in Latin: it has a Latin letter, or at least two letters that all look Latin."""
+def _is_word(token: str, text: str, start: int, end: int) -> bool:
+    """A token to be spelled in Latin: it has a Latin letter, or at least two letters that all look Latin and is no
+    part of a longer word of the other script."""
     letters = [c for c in token if not _HAS_ACCENT.match(c)]
-    return bool(_HAS_LATIN.search(token)) or (len(letters) >= 2 and all(c in LOOKALIKES for c in letters))
+    if _HAS_LATIN.search(token):
+        return True
+    apart = not _OTHER_LETTER.match(text[max(0, start - 1) : start]) and not _OTHER_LETTER.match(text[end : end + 1])
+    return apart and len(letters) >= 2 and all(c in LOOKALIKES for c in letters)
 
 
 def _spell(m: re.Match) -> str:
     token = m.group()
-    return token.translate(_LOOK) if _is_word(token) else token
+    return token.translate(_LOOK) if _is_word(token, m.string, m.start(), m.end()) else token
 
 
 def canonical_text(text: str | None) -> str | None:
@@ -120,48 +142,61 @@ def letters_and_digits(text: str | None) -> str:
     return _NOT_ALNUM.sub("", canonical_text(text).lower()) if text else ""
 
 
-def mixed_tokens(text: str) -> list[str]:
-    """Tokens of ``text`` that hold look-alike letters of another script and are to be spelled in Latin."""
-    folded = text.translate(_CHARS)
-    return [t for t in _TOKEN.findall(folded) if _is_word(t)]
+def raw_tokens(text: str) -> list[str]:
+    """Different tokens of ``text``, as they stand, that are written with other than plain Latin letters and are to be
+    spelled in Latin."""
+    out = set()
+    for m in _RAW_TOKEN.finditer(text):
+        if _RAW_SIGN.search(m.group()) and _is_word(m.group().translate(_CHARS), text, m.start(), m.end()):
+            out.add(m.group())
+    return sorted(out)
+
+
+#: Letters that are one and the same in a skeleton, since a look-alike may stand for either.
+_FOLDED = ("uyl", "vvi")
+_SKELETON = str.maketrans(*_FOLDED)
+_LOOK_ALL = _LOOK | {ord(c): forms[0] for c, forms in SMALL_CAPITALS.items()}
 
 
 def skeleton(token: str) -> str:
-    """What a token looks like: look-alikes as Latin letters, accents composed, lower case."""
-    return unicodedata.normalize("NFC", token.translate(_LOOK)).lower()
+    """What a token looks like: look-alikes as Latin letters, accents composed, lower case, readings folded."""
+    return unicodedata.normalize("NFC", token.translate(_CHARS).translate(_LOOK_ALL)).lower().translate(_SKELETON)
 
 
 class VocabularyTrie:
-    """Trie of words with counts, traversed by a weighted edit automaton.
+    """Trie of words with counts, traversed over raw tokens by a weighted edit automaton.
 
-    A look-alike letter, a split accent and an ignorable character match at no cost; a letter in the other case
-    costs 1. Of all words that spell a token, the cheapest wins, then the more frequent, then the first in order.
+    A look-alike letter in any of its readings, a full-width letter, a split accent and an ignorable character match at
+    no cost; a letter that looks like a small capital costs ``SMALL_COST``. Of all words within the budget that spell a
+    token the cheapest wins, then the more frequent, then the first in order.
     """
 
-    CASE_COST = 1
+    SMALL_COST = 1
+    BUDGET = 2
 
     def __init__(self, words: dict[str, int]):
         self.root: dict = {}
         for word, n in words.items():
             node = self.root
-            for ch in word:
+            for ch in unicodedata.normalize("NFD", word):
                 node = node.setdefault(ch, {})
             node[""] = (word, n)
 
-    def spell(self, token: str, most: int = 0) -> str | None:
-        text = unicodedata.normalize("NFC", token.translate(_CHARS).translate(_LOOK))
+    def _edges(self, ch: str) -> list[tuple[str, int]]:
+        """The letters that ``ch`` can stand for and what each costs."""
+        plain = ch.translate(_CHARS)
+        forms = [(plain, 0)] + [(c, 0) for c in LOOKALIKES.get(plain, "") + READINGS.get(plain, "")]
+        return forms + [(c, self.SMALL_COST) for c in SMALL_CAPITALS.get(plain, "")]
+
+    def spell(self, token: str, most: int = BUDGET) -> str | None:
         states = [(self.root, 0)]
-        for ch in text:
-            if _HAS_ACCENT.match(ch):
-                continue
-            following = []
-            for node, cost in states:
-                for form, price in ((ch, 0), (ch.swapcase(), self.CASE_COST)):
-                    if form in node and cost + price <= most:
-                        following.append((node[form], cost + price))
-            if not following:
+        for ch in unicodedata.normalize("NFD", token):
+            if ch.translate(_CHARS) == "":
+                continue  # ignorable
+            edges = self._edges(ch)
+            states = [(node[form], cost + price) for node, cost in states for form, price in edges if form in node and cost + price <= most]
+            if not states:
                 return None
-            states = following
         ends = [(cost, -node[""][1], node[""][0]) for node, cost in states if "" in node]
         return min(ends)[2] if ends else None
 
@@ -170,9 +205,9 @@ def _suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         keep, tokens = [], []
         for i, v in enumerate(b.column("value").to_pylist()):
-            if v is not None and canonical_text(v) != v:
+            if v is not None and ((found := raw_tokens(v)) or canonical_text(v) != v):
                 keep.append(i)
-                tokens.append(sorted(set(mixed_tokens(v))))
+                tokens.append(found)
         out = b.take(pa.array(keep, pa.int64()))
         yield pa.RecordBatch.from_arrays([*(out.column(c) for c in ("table_name", "row_key", "field_name", "value")), pa.array(tokens, pa.list_(pa.string()))], ["table_name", "row_key", "field_name", "value", "tokens"])
 
@@ -183,15 +218,16 @@ def _spellings(key, tokens: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(found, columns=["token", "spelling"])
 
 
+def respelled(text: str, known: dict[str, str]) -> str:
+    """``text`` with the selected spellings of its raw tokens, all else by table."""
+    if known:
+        text = _RAW_TOKEN.sub(lambda m: known.get(m.group(), m.group()), text)
+    return canonical_text(text)
+
+
 def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        out = []
-        for v, pairs in zip(b.column("value").to_pylist(), b.column("spellings").to_pylist(), strict=True):
-            known = {p["token"]: p["spelling"] for p in pairs or []}
-            text = v.translate(_CHARS)
-            if known:
-                text = _TOKEN.sub(lambda m: known.get(m.group()) or _spell(m), text)
-            out.append(canonical_text(text))
+        out = [respelled(v, {p["token"]: p["spelling"] for p in pairs or []}) for v, pairs in zip(b.column("value").to_pylist(), b.column("spellings").to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("table_name", "row_key", "field_name", "value")), pa.array(out, pa.string())], ["table_name", "row_key", "field_name", "value", "canonical"])
 
 
@@ -210,7 +246,7 @@ def canonicalize(values: DataFrame, buckets: int | None = None) -> DataFrame:
     words = F.regexp_extract_all("value", F.lit(f"(?<![{_LATIN}{ACCENTS}{_OTHER}])[{_LATIN}]{{2,}}(?![{_LATIN}{ACCENTS}{_OTHER}])"), F.lit(0))
     vocab = values.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     # same folding as skeleton() for words of composed Latin letters
-    vocab = vocab.withColumn("skeleton", F.lower("word"))
+    vocab = vocab.withColumn("skeleton", F.translate(F.lower("word"), *_FOLDED))
     vocab = vocab.join(tokens.select("skeleton").distinct(), "skeleton", "left_semi")
     bucket = F.pmod(F.xxhash64("skeleton"), F.lit(n)).alias("bucket")
     spelled = tokens.select(bucket, "token").groupBy("bucket").cogroup(vocab.select(bucket, "word", "n").groupBy("bucket")).applyInPandas(_spellings, "token string, spelling string")
@@ -220,4 +256,5 @@ def canonicalize(values: DataFrame, buckets: int | None = None) -> DataFrame:
     none = F.lit(None).cast("array<struct<token:string,spelling:string>>")
     plain = dirty.where(F.size("tokens") == 0).select("table_name", "row_key", "field_name", "value", none.alias("spellings"))
     mixed = dirty.where(F.size("tokens") > 0).drop("tokens").join(per_value, ["table_name", "row_key", "field_name"], "left")
-    return plain.unionByName(mixed.select("table_name", "row_key", "field_name", "value", "spellings")).mapInArrow(_rebuild, base + ", canonical string")
+    out = plain.unionByName(mixed.select("table_name", "row_key", "field_name", "value", "spellings")).mapInArrow(_rebuild, base + ", canonical string")
+    return out.where("canonical <> value")

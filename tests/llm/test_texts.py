@@ -37,9 +37,26 @@ def test_operator_finds_what_the_table_changes(spark):
 
 
 def test_trie_prefers_cheap_then_frequent():
-    trie = canonical.VocabularyTrie({"KHT": 5, "Kht": 9, "TNF": 1})
-    assert trie.spell("КНТ") == "KHT" and trie.spell("T​ΝF") == "TNF" and trie.spell("TNX") is None
-    assert trie.spell("кнт".upper()) == "KHT" and trie.spell("KHt", most=2) == "KHT" or trie.spell("KHt", most=2) == "Kht"
+    trie = canonical.VocabularyTrie({"KHT": 5, "Kht": 9, "TNF": 1, "Luvo": 3, "Lvvo": 8, "Sédil": 2, "MKB": 4, "MkB": 2})
+    assert trie.spell("КНТ") == "KHT" and trie.spell("T\u200bΝF") == "TNF" and trie.spell("TNX") is None
+    assert trie.spell("ＫHТ") == "KHT" and trie.spell("Kht") == "Kht" and trie.spell("kht") is None
+    assert trie.spell("Lυvo") == "Lvvo" and trie.spell("Lνvo") == "Lvvo" and trie.spell("Luvо") == "Luvo"
+    assert trie.spell("Sе\u0301dil") == "Sédil" and trie.spell("Sedil") is None
+    assert trie.spell("Mкв") == "MKB" and trie.spell("Mкв", most=1) is None and trie.spell("MкВ", most=1) == "MKB"
+
+
+def test_vocabulary_decides_where_the_table_knows_one_reading(spark):
+    """An upsilon is u by the table; here only the words with v and y are known, of two the more frequent wins."""
+    texts = ["Rivelo 片", "Ryvelo", "Ryvelo", "Rivelo", "Riυelo 胶囊", "Rυvelo", "Xaυemu", "NF-κB", "PKМ", "MKB MKB", "Mкв", "КВМ", "Rivelo\u3000"]
+    got = {r.row_key: r.canonical for r in canonical.canonicalize(values(spark, texts)).collect()}
+    assert got == {"4": "Rivelo 胶囊", "5": "Ryvelo", "6": "Xauemu", "8": "PKM", "10": "MKB", "11": "KBM", "12": "Rivelo "}
+    assert canonical.canonical_text("Riυelo 胶囊") == "Riuelo 胶囊" and canonical.canonical_text("Mкв") == "Mкв"
+
+
+def test_words_of_other_scripts_stay():
+    for t in ("Сад и она", "Сталин", "οικος λόγος", "νερό"):
+        assert canonical.canonical_text(t) == t and not canonical.raw_tokens(t)
+    assert canonical.canonical_text("⺮⻑⻆⻌⻣") == "竹長角辶骨"
 
 
 def docs(spark, contents, source="s"):
