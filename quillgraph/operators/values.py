@@ -1,16 +1,21 @@
 r"""Several values packed in one field: infer the delimiters of each source, then split with positions kept.
 
 A field's *source* is the column it comes from (``table.field``) unless the caller names a source column. Candidate
-delimiters are scored over all rows of a source:
+delimiters are scored over all rows of a source, of the values that the mark splits (marks inside quotes, inside
+brackets or between two digits never count):
 
-* **piece-count consistency** - of the values that hold the mark, the share that gives at least two non-empty pieces;
-* **type regularity** - the share of those values whose pieces are of one kind (id, name with or without Latin
-  letters or digits) or alike in length.
+* **piece-count consistency** - the share of values whose number of pieces lies in the source's most frequent octave
+  (2-3, 4-7, 8-15, ...), which one very long list doesn't disturb;
+* **type regularity** - the share of values whose pieces are of one kind (id, number, name with or without Han
+  characters) or alike in length.
 
-Marks inside quotes, inside brackets or between two digits never count. A candidate whose score stays below
-``min_score`` is taken as an ordinary character of that source, all others separate (values mix delimiters, so the
-winners are used together, and a mark that ``evidence`` values or fewer hold is one by default). One aggregation over a dozen numbers per source gives the scores; the decision goes back
-as a join with one row per source, so nothing is collected.
+The score is the product of both, each smoothed by ``weight`` values of ``prior``, so that it needs no least number of
+rows. A candidate whose score stays below ``min_score`` is taken as an ordinary character of that source, all others
+separate (values mix delimiters, so the winners are used together). One aggregation over a dozen numbers per source
+gives the scores; the decision goes back as a join with one row per source, so nothing is collected.
+
+Lists of ids are *dressed*: JSON, escaped JSON, braces or quotes stand around the values and hide no delimiter. There
+the dressing is taken off first, and blanks are one more candidate.
 
 Defined cases: NULL, empty or blank fields give no row; empty pieces are skipped and not counted in ``pos``;
 repeated pieces are kept; an unclosed quote or bracket protects nothing. Extra columns of the input are ignored;
@@ -30,6 +35,9 @@ DELIMITERS = {
     "bar": "|｜¦",
     "slash": "/／",
 }
+# What stands around the values of a dressed list.
+DRESSING = "[]{}()\"'\\“”‘’［］｛｝"
+BLANK = "blank"
 # Marks that enclose.
 QUOTES = [('"', '"'), ("“", "”"), ("'", "'"), ("‘", "’"), ("「", "」"), ("『", "』"), ("＂", "＂"), ("＇", "＇")]
 BRACKETS = [("(", ")"), ("（", "）"), ("[", "]"), ("［", "］"), ("【", "】"), ("〔", "〕"), ("《", "》"), ("{", "}"), ("｛", "｝"), ("<", ">"), ("〈", "〉")]
@@ -78,53 +86,73 @@ def _kind(piece: Column) -> Column:
     )
 
 
-def delimiter_scores(df: DataFrame, source: str, value: str) -> DataFrame:
-    """One row per source and candidate: ``source, delimiter, n_values, consistency, regularity, score``."""
-    held = df.select(F.col(source).alias("source"), F.col(value).alias("v")).where(F.col("v").rlike("[" + _chars("".join(DELIMITERS.values())) + "]"))
-    cols = []
-    for name, marks in DELIMITERS.items():
-        cols.append(F.struct(F.lit(name).alias("delimiter"), F.col("v").rlike("[" + _chars(marks) + "]").alias("held"), pieces(F.col("v"), marks).alias("p")))
+def _candidates(v: Column, dressed: bool) -> list[tuple[str, Column, Column]]:
+    """(name, whether the value holds it, pieces by it alone) of every candidate delimiter."""
+    out = [(name, v.rlike("[" + _chars(marks) + "]"), pieces(v, marks)) for name, marks in DELIMITERS.items()]
+    if dressed:
+        cls = _chars("".join(DELIMITERS.values()))
+        between = v.rlike(f"[^\\s{cls}]\\s+[^\\s{cls}]")
+        out.append((BLANK, between, F.filter(F.split(v, "\\s+"), lambda p: p != "")))
+    return out
+
+
+def _bare(value: Column, dressed: bool) -> Column:
+    return F.trim(F.translate(value, DRESSING, "")) if dressed else value
+
+
+#: Octaves of piece counts; the last one is open.
+OCTAVES = 8
+
+
+def delimiter_scores(df: DataFrame, source: str, value: str, dressed: bool = False, weight: int = 8, prior: float = 0.8) -> DataFrame:
+    """One row per source and candidate: ``source, delimiter, n_values, n_split, consistency, regularity, score``."""
+    marks = "[" + _chars("".join(DELIMITERS.values())) + ("\\s" if dressed else "") + "]"
+    held = df.select(F.col(source).alias("source"), _bare(F.col(value), dressed).alias("v")).where(F.col("v").rlike(marks))
+    cols = [F.struct(F.lit(name).alias("delimiter"), has.alias("held"), p.alias("p")) for name, has, p in _candidates(F.col("v"), dressed)]
     long = held.select("source", F.explode(F.array(*cols)).alias("c")).select("source", "c.*").where("held")
     # a mark that stands only in protected places gives one piece equal to the whole value and is no evidence
-    split = F.size("p") >= 2
+    n = F.size("p")
     kinds = F.size(F.array_distinct(F.transform("p", _kind)))
     lens = F.transform("p", lambda p: F.length(p))
     regular = (kinds == 1) | (F.array_max(lens) <= 3 * F.array_min(lens))
+    octave = F.least(F.floor(F.log2(n)), F.lit(OCTAVES))
     agg = long.groupBy("source", "delimiter").agg(
         F.count("*").alias("n_values"),
-        F.count_if(split).alias("n_split"),
-        F.count_if(split & regular).alias("n_regular"),
+        F.count_if(n >= 2).alias("n_split"),
+        F.count_if((n >= 2) & regular).alias("n_regular"),
+        F.greatest(*(F.count_if((n >= 2) & (octave == k)) for k in range(1, OCTAVES + 1))).alias("n_consistent"),
     )
-    consistency = F.when(F.col("n_values") > 0, F.col("n_split") / F.col("n_values")).otherwise(F.lit(0.0))
-    regularity = F.when(F.col("n_split") > 0, F.col("n_regular") / F.col("n_split")).otherwise(F.lit(0.0))
-    return agg.select("source", "delimiter", "n_values", "n_split", consistency.alias("consistency"), regularity.alias("regularity"), regularity.alias("score"))
+    smooth = lambda c: (F.col(c) + weight * prior) / (F.col("n_split") + weight)
+    out = agg.select("source", "delimiter", "n_values", "n_split", smooth("n_consistent").alias("consistency"), smooth("n_regular").alias("regularity"))
+    return out.withColumn("score", F.col("consistency") * F.col("regularity"))
 
 
-def split_values(df: DataFrame, key: str, source: str, value: str, min_score: float = 0.5, evidence: int = 20) -> DataFrame:
+def split_values(df: DataFrame, key: str, source: str, value: str, min_score: float = 0.5, dressed: bool = False) -> DataFrame:
     """``source, row_key, pos, val``: one row per value of the fields that hold two or more."""
     all_marks = "".join(DELIMITERS.values())
-    marked = df.select(F.col(source).alias("source"), F.col(key).cast("string").alias("row_key"), F.col(value).alias("v")).where(F.col("v").rlike("[" + _chars(all_marks) + "]"))
+    anywhere = "[" + _chars(all_marks) + ("\\s" if dressed else "") + "]"
+    marked = df.select(F.col(source).alias("source"), F.col(key).cast("string").alias("row_key"), _bare(F.col(value), dressed).alias("v")).where(F.col("v").rlike(anywhere))
     # the marks that do not separate in a source: at most the dozen candidates for each of the caller's sources
-    kept = delimiter_scores(df, source, value).where((F.col("n_split") >= evidence) & (F.col("score") < min_score))
-    plain = kept.groupBy("source").agg(F.array_sort(F.collect_set("delimiter")).alias("plain"))
+    ordinary = delimiter_scores(df, source, value, dressed).where(F.col("score") < min_score)
+    plain = ordinary.groupBy("source").agg(F.array_sort(F.collect_set("delimiter")).alias("plain"))
     joined = marked.join(plain, "source", "left")
+    is_plain = lambda name: F.array_contains(F.coalesce("plain", F.array().cast("array<string>")), name)
     v = F.col("v")
     for i, (name, marks) in enumerate(DELIMITERS.items()):
         # hide the ordinary marks of this source behind private-use characters while splitting
         hidden = "".join(chr(0xE000 + 16 * i + k) for k in range(len(marks)))
-        v = F.when(F.array_contains(F.coalesce("plain", F.array().cast("array<string>")), name), F.translate(v, marks, hidden)).otherwise(v)
+        v = F.when(is_plain(name), F.translate(v, marks, hidden)).otherwise(v)
+    parts = pieces(v, all_marks)
+    if dressed:
+        at_blanks = F.filter(F.flatten(F.transform(parts, lambda p: F.split(p, "\\s+"))), lambda p: p != "")
+        parts = F.when(is_plain(BLANK), parts).otherwise(at_blanks)
     shown_from = "".join(chr(0xE000 + 16 * i + k) for i, m in enumerate(DELIMITERS.values()) for k in range(len(m)))
-    out = joined.select("source", "row_key", pieces(v, all_marks).alias("p")).where(F.size("p") >= 2)
+    out = joined.select("source", "row_key", parts.alias("p")).where(F.size("p") >= 2)
     out = out.select("source", "row_key", F.posexplode("p").alias("i", "val"))
     return out.select("source", "row_key", (F.col("i") + 1).cast("int").alias("pos"), F.translate("val", shown_from, all_marks).alias("val"))
 
 
-# Fixed value: an id is letters, digits, low lines, hyphens and dots inside.
-ID_PATTERN = "[\\p{L}\\p{N}_]+(?:[-.:][\\p{L}\\p{N}_]+)*+"
-
-
 def split_ids(df: DataFrame, key: str, value: str) -> DataFrame:
-    """``row_key, pos, val`` of fields of ids in whatever list form (JSON, escaped JSON, braces, delimiters, blanks)."""
-    ids = F.regexp_extract_all(F.col(value), F.lit(ID_PATTERN), F.lit(0))
-    out = df.select(F.col(key).cast("string").alias("row_key"), ids.alias("p")).where(F.size("p") >= 2)
-    return out.select("row_key", F.posexplode("p").alias("i", "val")).select("row_key", (F.col("i") + 1).cast("int").alias("pos"), "val")
+    """``row_key, pos, val`` of one column of ids in whatever list form (JSON, escaped JSON, braces, delimiters, blanks)."""
+    one = df.select(F.lit("ids").alias("source"), F.col(key).alias("row_key"), F.col(value).alias("value"))
+    return split_values(one, "row_key", "source", "value", dressed=True).drop("source")

@@ -26,9 +26,10 @@ def test_runs(spark, sf_dir, name):
     assert df.columns and df.count() >= 0
 
 
-def test_values_run(spark, sf_dir):
-    for f in value_queries.QUERIES.values():
+def test_values_run(spark, sf_dir, con):
+    for name, f in value_queries.QUERIES.items():
         assert f(spark, sf_dir).count() > 0
+        assert name not in value_queries.SQL or of_df(f(spark, sf_dir)) == of_sql(con, value_queries.SQL[name])
 
 
 def test_names_are_unique():

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from quillgraph.operators.values import split_ids, split_values
+from quillgraph.operators.values import delimiter_scores, split_ids, split_values
 
 SEPARATORS = ",，;；、|｜/／"
 CLOSE = {"(": ")", "（": "）", "[": "]", "【": "】", "《": "》", "“": "”", '"': '"'}
@@ -69,6 +69,25 @@ def test_plain_marks_of_a_source(spark):
     assert keys == set(range(30, 60))
 
 
+def test_few_values_show_a_plain_mark(spark):
+    """Four values are enough; one odd value is not, and a single long list does not make its delimiter plain."""
+    few = [("a", f"长长长长长长长长长名字_{i}/x") for i in range(4)] + [("b", "长长长长长长长长长名字_1/x"), ("b", "甲号/乙号")]
+    few += [("c", "甲号；乙号")] * 5 + [("c", "；".join(f"名{i}号" for i in range(500)))]
+    df = spark.createDataFrame([(i, s, v) for i, (s, v) in enumerate(few)], "k long, src string, v string")
+    keys = {int(r.row_key) for r in split_values(df, "k", "src", "v").collect()}
+    assert keys == set(range(4, 12))
+    score = {r.source: r for r in delimiter_scores(df, "src", "v").collect()}
+    assert score["a"].score == pytest.approx(score["a"].consistency * score["a"].regularity) and score["a"].score < 0.5 < score["b"].score
+    assert score["c"].consistency == pytest.approx((5 + 6.4) / 14)
+
+
+def test_counts_without_consistency(spark):
+    """Pieces of one kind whose number varies without any rule are not a list."""
+    vals = ["、".join(["名"] * n) for n in (2, 4, 8, 16, 32, 64, 128, 200) for _ in range(3)] + ["甲；乙"] * 3
+    df = spark.createDataFrame([(i, "a", v) for i, v in enumerate(vals)], "k long, src string, v string")
+    assert {int(r.row_key) for r in split_values(df, "k", "src", "v").collect()} == {24, 25, 26}
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "k long, src string, v string")
     assert split_values(df, "k", "src", "v").count() == 0 and split_ids(df, "k", "v").count() == 0
