@@ -19,7 +19,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
@@ -41,7 +42,11 @@ def printable_bytes() -> dict[int, str]:
 class Merges:
     """Merges of a vocabulary file as sorted arrays."""
 
-    def __init__(self, path: str):
+    def __init__(self, parts: dict):
+        vars(self).update(parts)
+
+    @classmethod
+    def load(cls, path: str) -> Merges:
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
         ids = model["vocab"]
@@ -53,11 +58,17 @@ class Merges:
             new.append(ids[a + b])
         key = (np.array(left, np.int64) << 32) | np.array(right, np.int64)
         order = np.argsort(key)
-        self.key, self.rank = key[order], order.astype(np.int32)
-        self.new, self.twin = np.array(new, np.int32), np.array(left) == np.array(right)
         shown = printable_bytes()
-        self.table = dict(zip(key.tolist(), range(len(key)), strict=True))
-        self.byte_ids = np.array([ids[shown[b]] for b in range(256)], np.int32)
+        return cls(
+            {
+                "key": key[order],
+                "rank": order.astype(np.int32),
+                "new": np.array(new, np.int32),
+                "twin": np.array(left) == np.array(right),
+                "table": dict(zip(key.tolist(), range(len(key)), strict=True)),
+                "byte_ids": np.array([ids[shown[b]] for b in range(256)], np.int32),
+            }
+        )
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         k = (left.astype(np.int64) << 32) | right
@@ -192,13 +203,26 @@ def _chunks(texts: list[str | None], most: int) -> Iterator[tuple[int, int]]:
     yield a, len(texts)
 
 
+#: Broadcasts of this process by application and vocabulary: one each, however many queries encode.
+_SHARED: dict[tuple[str, str], Broadcast] = {}
+
+
+def _shared(spark: SparkSession, vocabulary: str) -> Broadcast:
+    """The vocabulary's parts as plain arrays and a dict, which workers read without this package."""
+    sc = spark.sparkContext
+    at = (sc.applicationId, vocabulary)
+    if at not in _SHARED:
+        _SHARED[at] = sc.broadcast(vars(Merges.load(vocabulary)))
+    return _SHARED[at]
+
+
 def _mapped(df: DataFrame, keys: list[str], text: str, vocabulary: str, chunk_bytes: int, out: str, finish) -> DataFrame:
-    shared = df.sparkSession.sparkContext.broadcast(Merges(vocabulary))
+    shared = _shared(df.sparkSession, vocabulary)
     kinds = dict(df.dtypes)
     names = [f"k{i}" for i in range(len(keys))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, pattern = shared.value, regex.compile(PRE_TOKEN)
+        m, pattern = Merges(shared.value), regex.compile(PRE_TOKEN)
         for b in batches:
             texts = b.column(len(keys)).to_pylist()
             for a, z in _chunks(texts, chunk_bytes):

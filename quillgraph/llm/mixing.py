@@ -10,8 +10,11 @@ source of weight ``w`` is released at ``floor(j / w)`` and due by ``ceil((j + 1)
 block with the earliest deadline, so after any slot every source is less than one block from its weight. Blocks cover
 all passes: ``scheduled`` gives every use of a document its slot, ``mixed`` the slot of the first.
 
-Prefix sums over a source's documents are two-level (sums of hash buckets, then within a bucket), so a source that
-holds most rows is spread over all tasks. The schedule is a table of ``blocks`` rows, whatever the corpus holds.
+A block is never smaller than the largest document, which belongs to the block it begins in, so what the rows of the
+first slots hold is less than two blocks from every source's weight.
+
+Prefix sums over a source's documents are two-level (sums of hash buckets of some ``bucket_rows`` documents, then within
+a bucket), so a source that holds most rows is spread over all tasks. The schedule has ``blocks`` rows at most.
 
 Defined cases: documents with NULL source, or of a source that is not in the mix, belong to none; NULL and empty texts
 have no tokens and are not chosen; a source without documents gives nothing (the others keep their proportions) and
@@ -74,18 +77,21 @@ def plan(totals: dict[str, int], mix: list[tuple[str, float, int]]) -> dict[str,
     return out
 
 
-def _chosen(docs: DataFrame, mix: DataFrame, vocabulary: str, blocks: int, buckets: int, seed: int) -> tuple[DataFrame, DataFrame]:
+def _chosen(docs: DataFrame, mix: DataFrame, vocabulary: str, blocks: int, bucket_rows: int, seed: int) -> tuple[DataFrame, DataFrame]:
     """The chosen documents with their places in the first pass, and the slot of each source's blocks."""
     spark = docs.sparkSession
     rows = mix.select("source", F.col("target_share").cast("double"), F.col("max_repeats").cast("int")).where("source IS NOT NULL").limit(MOST_SOURCES + 1).collect()
     if len(rows) > MOST_SOURCES:
         raise ValueError(f"a mix has at most {MOST_SOURCES} sources")
     sizes = materialize(token_sizes(docs, mix, vocabulary), "token-sizes")
-    totals = {r.source: r.n for r in sizes.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}
+    # one row per source of the mix
+    found = sizes.groupBy("source").agg(F.sum("n_tokens").alias("n"), F.max("n_tokens").alias("most"), F.count("*").alias("docs")).collect()
+    totals = {r.source: r.n for r in found}
+    buckets = max(1, -(-max((r.docs for r in found), default=0) // bucket_rows))
     plans = plan(totals, [(r.source, r.target_share, r.max_repeats) for r in rows])
     schema = "source string, tokens long, passes long, rest long, block double"
     total = sum(p["need"] for p in plans.values())
-    size = max(1.0, total / blocks)
+    size = max(1.0, total / blocks, *(float(r.most) for r in found if r.source in plans))
     per_source = spark.createDataFrame([(s, p["tokens"], p["passes"], p["rest"], size) for s, p in plans.items()], schema)
     counts = {s: max(1, round(p["need"] / size)) for s, p in plans.items()}
     slots = spark.createDataFrame([(s, j, t) for t, (s, j) in enumerate(pfair_schedule(counts))], "source string, block_no long, slot long")
@@ -108,18 +114,18 @@ def _in_slots(uses: DataFrame, slots: DataFrame) -> DataFrame:
     return uses.withColumn("block_no", block).join(F.broadcast(slots), ["source", "block_no"])
 
 
-def mixed(docs: DataFrame, mix: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, blocks: int = 8192, buckets: int = 1024, seed: int = 7) -> DataFrame:
+def mixed(docs: DataFrame, mix: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, blocks: int = 8192, bucket_rows: int = 50_000, seed: int = 7) -> DataFrame:
     """``doc_id, source, n_tokens, repeats, first_slot`` of the chosen documents."""
-    d, slots = _chosen(docs, mix, vocabulary, blocks, buckets, seed)
+    d, slots = _chosen(docs, mix, vocabulary, blocks, bucket_rows, seed)
     return _in_slots(d.withColumn("place", F.col("start")), slots).select("doc_id", "source", "n_tokens", "repeats", F.col("slot").alias("first_slot"))
 
 
-def scheduled(docs: DataFrame, mix: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, blocks: int = 8192, buckets: int = 1024, seed: int = 7) -> DataFrame:
+def scheduled(docs: DataFrame, mix: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, blocks: int = 8192, bucket_rows: int = 50_000, seed: int = 7) -> DataFrame:
     """``doc_id, source, n_tokens, use, slot`` of every use of the chosen documents, ``max_repeats`` rows at most each.
 
     Use ``k`` lies ``k - 1`` whole passes over its source behind the first.
     """
-    d, slots = _chosen(docs, mix, vocabulary, blocks, buckets, seed)
+    d, slots = _chosen(docs, mix, vocabulary, blocks, bucket_rows, seed)
     uses = d.withColumn("use", F.explode(F.sequence(F.lit(1), F.col("repeats")))).withColumn("place", F.col("start") + (F.col("use") - 1) * F.col("tokens"))
     return _in_slots(uses, slots).select("doc_id", "source", "n_tokens", "use", "slot")
 

@@ -11,6 +11,10 @@ the consistent form only. The steps:
 3. *the rest*: buckets whose members still belong to several components give the pairs across those components (and
    none within), by joins on (bucket, component); the same sketch and exact check follow, so no link between texts
    that share a band is lost, and a bucket that is one large group costs one pair per member.
+4. *hot buckets*: where more than ``most_pairs`` pairs would lie across a bucket's components (a band of boilerplate in
+   unrelated texts), its members meet by their rare runs instead: of a text with n distinct runs the n - ceil(t n) + 1
+   rarest ones; two texts of similarity t or more share one of these, so nothing is lost, and unrelated texts share
+   only what is common and therefore not among them.
 
 Groups come from min-label propagation with pointer jumping over the verified links. Nothing is collected: all steps
 are joins and aggregations that partition by key, with hot keys pre-aggregated or split by adaptive execution.
@@ -32,7 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import materialize
+from ..operators.components import connected
+from ..runtime import discard, materialize
 from .canonical import letters_and_digits
 
 
@@ -47,6 +52,7 @@ class Scheme:
     rows: int = 5
     words: int = 8  # 64-bit words of the odd sketch
     slack: float = 0.2  # how far an estimate may lie under the threshold and still be verified
+    most_pairs: int = 20_000  # pairs of one bucket that are formed directly; beyond, rare shingles select them
     seed: int = 20240607
 
     @property
@@ -222,21 +228,6 @@ def verified(pairs: DataFrame, left: DataFrame, right: DataFrame, scheme: Scheme
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, f"a {kinds['a']}, b {kinds['b']}")
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """``id, label``: the smallest id connected to every id of ``edges`` (a, b)."""
-    both = materialize(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "links")
-    labels = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")).withColumnRenamed("a", "id"), "labels")
-    for _ in range(max_rounds):
-        near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("label").alias("near")).withColumnRenamed("a", "id")
-        hop = labels.select(F.col("id").alias("label"), F.col("label").alias("hop"))
-        step = labels.join(near, "id").join(hop, "label").select("id", F.least("label", "near", "hop").alias("new"), "label")
-        step = materialize(step.select("id", F.col("new").alias("label"), (F.col("new") != F.col("label")).alias("moved")), "labels")
-        if step.where("moved").isEmpty():
-            return step.select("id", "label")
-        labels = step.select("id", "label")
-    raise RuntimeError("components did not settle")
-
-
 def bucket_members(signed: DataFrame) -> DataFrame:
     """``bucket, id, lead`` of the buckets with two members or more; the lead is the smallest."""
     rows = signed.select("id", F.explode("bands").alias("bucket"))
@@ -244,21 +235,76 @@ def bucket_members(signed: DataFrame) -> DataFrame:
     return rows.join(leads, "bucket")
 
 
-def cross_pairs(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs ``a, b`` that share a bucket and belong to different components, none with its bucket's lead.
+def rare_shingles(texts: DataFrame, scheme: Scheme) -> DataFrame:
+    """``side, id, bucket`` of ``texts`` (side, id, compared): the rarest shingles of every text, as buckets.
 
-    The components of a bucket are listed first; members then join by (bucket, component), so pairs within one
-    component are never formed.
+    Shingles are ordered by their number of texts, then by hash; of n distinct ones the first n - ceil(t n) + 1 are
+    given. Texts of similarity t share at least one of these. Hashes may collide, which only adds candidates.
     """
-    m = members.join(labels, "id", "left").select("bucket", "id", F.coalesce("label", "id").alias("label"), (F.col("id") == F.col("lead")).alias("is_lead"))
-    mixed = m.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo <> hi AND n > 2").select("bucket")
-    m = materialize(m.join(mixed, "bucket", "left_semi").where("NOT is_lead").select("bucket", "id", "label"), "mixed-buckets")
+    kind = dict(texts.dtypes)["id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        signer = Signer(scheme)
+        for b in batches:
+            sets = [np.unique(signer.hashed([k])[0]).view(np.int64) for k in b.column("compared").to_pylist()]
+            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            h = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets) if sets else np.empty(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column("side"), b.column("id"), h], ["side", "id", "h"])
+
+    sets = materialize(texts.select("side", "id", "compared").mapInArrow(run, f"side int, id {kind}, h array<long>"), "hot-shingles")
+    rows = sets.select("side", "id", F.explode("h").alias("bucket"))
+    counted = rows.join(rows.groupBy("bucket").agg(F.count("*").alias("n")), "bucket")
+    # a list holds one text's own shingles
+    ordered = counted.groupBy("side", "id").agg(F.sort_array(F.collect_list(F.struct("n", "bucket"))).alias("o"))
+    most = F.size("o") - F.ceil(F.size("o") * F.lit(scheme.threshold) - F.lit(1e-9)).cast("int") + 1
+    rare = ordered.select("side", "id", F.explode(F.slice("o", F.lit(1), most)).alias("o"))
+    out = materialize(rare.where("o.n > 1").select("side", "id", F.col("o.bucket").alias("bucket")), "rare-shingles")
+    discard(sets)
+    return out
+
+
+def bucket_pairs(left: DataFrame, right: DataFrame, left_texts: DataFrame, right_texts: DataFrame, scheme: Scheme) -> DataFrame:
+    """Different pairs ``a, b`` of ``left`` (bucket, a) and ``right`` (bucket, b); hot buckets' members by rare shingles."""
+    n = left.groupBy("bucket").agg(F.count("*").alias("n_a")).join(right.groupBy("bucket").agg(F.count("*").alias("n_b")), "bucket")
+    hot = materialize(n.where(F.col("n_a").cast("double") * F.col("n_b") > scheme.most_pairs).select("bucket"), "hot-buckets")
+    if hot.isEmpty():
+        return left.join(right, "bucket").select("a", "b").distinct()
+    direct = left.join(hot, "bucket", "left_anti").join(right, "bucket").select("a", "b")
+    x = left.join(hot, "bucket", "left_semi").select(F.col("a").alias("id")).distinct().join(left_texts, "id")
+    y = right.join(hot, "bucket", "left_semi").select(F.col("b").alias("id")).distinct().join(right_texts, "id")
+    side = lambda df, k: df.select(F.lit(k).alias("side"), "id", "compared")
+    rare = rare_shingles(side(x, 0).unionByName(side(y, 1)), scheme)
+    of = lambda k, name: rare.where(F.col("side") == k).select("bucket", F.col("id").alias(name))
+    return direct.union(of(0, "a").join(of(1, "b"), "bucket").select("a", "b")).distinct()
+
+
+def _across(m: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` of ``m`` (bucket, id, label) that share a bucket and have different labels."""
     c = m.select("bucket", "label").distinct()
     across = c.alias("p").join(c.alias("q"), "bucket").where("p.label < q.label").select("bucket", F.col("p.label").alias("lo"), F.col("q.label").alias("hi"))
     left = m.select("bucket", F.col("label").alias("lo"), F.col("id").alias("x"))
     right = m.select("bucket", F.col("label").alias("hi"), F.col("id").alias("y"))
     pairs = across.join(left, ["bucket", "lo"]).join(right, ["bucket", "hi"])
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
+def cross_pairs(members: DataFrame, labels: DataFrame, texts: DataFrame, scheme: Scheme) -> DataFrame:
+    """Pairs ``a, b`` that share a bucket and belong to different components, none with its bucket's lead.
+
+    The components of a bucket are listed first; members then join by (bucket, component), so pairs within one
+    component are never formed. Members of hot buckets meet by their rare shingles in the same way.
+    """
+    m = members.where("id <> lead").join(labels, "id", "left").select("bucket", "id", F.coalesce("label", "id").alias("label"))
+    by_label = m.groupBy("bucket", "label").agg(F.count("*").cast("double").alias("n"))
+    n = by_label.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("within"))
+    n = n.withColumn("pairs", (F.col("n") * F.col("n") - F.col("within")) / 2).where("pairs > 0").select("bucket", (F.col("pairs") > scheme.most_pairs).alias("hot"))
+    m = materialize(m.join(n, "bucket"), "mixed-buckets")
+    pairs = _across(m.where("NOT hot"))
+    hot = m.where("hot").select("id", "label").distinct()
+    if not hot.isEmpty():
+        rare = rare_shingles(hot.join(texts, "id").select(F.lit(0).alias("side"), "id", "compared"), scheme)
+        pairs = pairs.union(_across(rare.join(hot, "id").select("bucket", "id", "label")))
+    return pairs.distinct()
 
 
 def near_duplicates(df: DataFrame, key: str, text: str, scheme: Scheme = Scheme()) -> DataFrame:
@@ -270,11 +316,14 @@ def near_duplicates(df: DataFrame, key: str, text: str, scheme: Scheme = Scheme(
     members = materialize(bucket_members(own), "bucket-members")
     stars = members.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
     links = materialize(verified(near_pairs(stars, signed, signed, scheme), signed, signed, scheme), "star-links")
-    labels = components(links)
-    rest = cross_pairs(members, labels)
+    labels = connected(links)
+    rest = cross_pairs(members, labels, signed.select("id", "compared"), scheme)
     more = materialize(verified(near_pairs(rest, signed, signed, scheme), signed, signed, scheme), "cross-links")
+    discard(members, signed)
     if not more.isEmpty():
-        labels = components(links.union(more))
+        discard(labels)
+        labels = connected(links.union(more))
+    discard(links, more)
     groups = labels.where("id <> label").select("id", F.col("label").alias("first"))
     # copies follow the text they repeat
     follow = copies.join(labels.select(F.col("id").alias("first"), "label"), "first", "left").select("id", F.coalesce("label", "first").alias("first"))

@@ -6,6 +6,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillgraph.llm import facts, increment, mixing, neardup
 from quillgraph.llm.canonical import letters_and_digits
@@ -75,6 +76,76 @@ def test_links_across_a_bucket(spark):
     assert {(r.first, r.id) for r in neardup.near_duplicates(df, "doc_id", "content", many).collect()} == want
 
 
+def boilerplate(n, seed):
+    """Unrelated texts that share a long passage, with two near pairs among them."""
+    rnd = random.Random(seed)
+    word = lambda k: "".join(rnd.choice(ALPHABET) for _ in range(k))
+    shared = word(60)
+    out = [shared + word(120) for _ in range(n)]
+    out[n // 2] = out[3][:-8] + word(8)
+    out[n - 1] = out[n - 7][:70] + word(3) + out[n - 7][70:]
+    return out
+
+
+def test_hot_bucket_forms_few_pairs(spark):
+    rows = [(i, letters_and_digits(t)) for i, t in enumerate(boilerplate(2000, 12))]
+    texts = spark.createDataFrame(rows, "id long, compared string")
+    members = texts.select(F.lit(7).cast("long").alias("bucket"), "id", F.lit(0).cast("long").alias("lead"))
+    none = spark.createDataFrame([], "id long, label long")
+    pairs = {(r.a, r.b) for r in neardup.cross_pairs(members, none, texts, neardup.Scheme()).collect()}
+    assert {(3, 1000), (1993, 1999)} <= pairs and len(pairs) < 4000
+    # members of one component never meet
+    one = texts.select("id", F.lit(1).cast("long").alias("label")).where("id < 1990")
+    across = neardup.cross_pairs(members, one, texts, neardup.Scheme(most_pairs=100))
+    assert all(b >= 1990 for _, b in across.collect())
+    left, right = (texts.where(c).select(F.lit(7).alias("bucket"), F.col("id").alias(k)) for c, k in (("id < 1000", "a"), ("id >= 1000", "b")))
+    found = {(r.a, r.b) for r in neardup.bucket_pairs(left, right, texts, texts, neardup.Scheme()).collect()}
+    assert (3, 1000) in found and len(found) < 4000
+
+
+def test_hot_buckets_lose_nothing(spark):
+    """Every bucket is hot and holds all texts: recall is that of the rare shingles, which is 1."""
+    rows = texts(15) + boilerplate(60, 3)
+    keys = [letters_and_digits(t) for t in rows]
+    want = groups((i, j) for i, j in itertools.combinations(range(len(rows)), 2) if near(keys[i], keys[j]))
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, content string")
+    hot = neardup.Scheme(bands=30, rows=1, most_pairs=0)
+    assert {(r.first, r.id) for r in neardup.near_duplicates(df, "doc_id", "content", hot).collect()} == want
+
+
+def test_recall_at_the_threshold(spark):
+    """Lone pairs of similarity 0.60 to 0.65, each in an alphabet of its own: found by the bands of p2 and of p6."""
+    rnd = random.Random(31)
+    word = lambda k, i: "".join(chr(0x4E00 + 30 * i + rnd.randrange(30)) for _ in range(k))
+    pairs = []
+    while len(pairs) < 300:
+        base = word(200, len(pairs))
+        other = list(base)
+        for _ in range(rnd.randint(7, 14)):
+            other[rnd.randrange(200)] = word(1, len(pairs))
+        if 0.6 <= neardup.similarity(base, "".join(other), 5) < 0.65:
+            pairs.append((base, "".join(other)))
+    flat = [t for p in pairs for t in p]
+    df = spark.createDataFrame(list(enumerate(flat)), "doc_id long, content string")
+    assert neardup.near_duplicates(df, "doc_id", "content").count() >= 0.95 * len(pairs)
+    docs = spark.createDataFrame([(i, None, None, a) for i, (a, _) in enumerate(pairs)], "doc_id long, document_id string, content_hash string, content string")
+    recs = spark.createDataFrame([("run_1", f"r{i}", None, json.dumps({"text": {"content": b}})) for i, (_, b) in enumerate(pairs)], "run_id string, document_id string, content_hash string, canonical_json string")
+    assert increment.repeated_records(recs, docs).count() >= 0.95 * len(pairs)
+
+
+def test_records_with_hot_buckets(spark):
+    """As test_records, but every bucket is hot, and runs may be NULL."""
+    rows = texts(22)[:150]
+    docs = [(i, f"d{i}", None, t) for i, t in enumerate(rows[:40])]
+    records = [(f"run_{1 + i // 20:02d}", f"r{i}", None, json.dumps({"text": {"content": t}})) for i, t in enumerate(rows[40:])]
+    schema = "run_id string, document_id string, content_hash string, canonical_json string"
+    ddf = spark.createDataFrame(docs, "doc_id long, document_id string, content_hash string, content string")
+    hot = neardup.Scheme(bands=40, rows=1, words=0, most_pairs=0)
+    lost = [(None, "late", None, records[0][3]), (None, "d3", None, None)]
+    got = {(r.run_id, r.document_id) for r in increment.repeated_records(spark.createDataFrame(records + lost, schema), ddf, hot).collect()}
+    assert {x for x in got if x[0]} == reference_records(records, docs) and (None, "d3") in got
+
+
 def test_sketch_estimates():
     rnd = random.Random(3)
     s = neardup.Scheme()
@@ -155,8 +226,16 @@ def test_records(spark):
     assert none == reference_records(sorted(set(records), key=lambda r: r[0]), [])
 
 
-def test_stored_history_grows_by_accepted_records(spark, tmp_path):
+def test_stored_history_grows_by_accepted_records(spark, tmp_path, monkeypatch):
     """Batches one after another against the stored table give what all runs at once give."""
+    signed_rows = []
+    signatures = increment.signatures
+
+    def counted(df, *args):
+        signed_rows.append(df.count())
+        return signatures(df, *args)
+
+    monkeypatch.setattr(increment, "signatures", counted)
     rnd = random.Random(10)
     pool = list(itertools.chain.from_iterable(family(rnd, 4, rnd.randint(70, 160), 10) for _ in range(20)))
     rnd.shuffle(pool)
@@ -171,6 +250,10 @@ def test_stored_history_grows_by_accepted_records(spark, tmp_path):
         got |= {(r.run_id, r.document_id) for r in increment.extend_history(batch, str(tmp_path / "h")).collect()}
         sizes.append(increment.stored_history(spark, str(tmp_path / "h"))[0].count())
     assert got == reference_records(records, docs) and sizes[-1] > sizes[0] > len(docs)
+    for seen, batch in ((0, 3), (1, 2)):  # a run signs its own texts only
+        signed_rows.clear()
+        increment.extend_history(spark.createDataFrame([("run_9%d" % seen, f"new{seen}{i}", None, json.dumps({"text": {"content": "甲乙" * 40 + str(i)}})) for i in range(batch)], schema), str(tmp_path / "h")).count()
+        assert sum(signed_rows) == batch
     signed, _ = increment.stored_history(spark, str(tmp_path / "h"))
     assert signed.select("id").distinct().count() == signed.count()
 
@@ -238,3 +321,23 @@ def test_every_use_has_a_slot(spark):
             if part * last <= 4 * r.slot < (part + 1) * last:
                 n[r.source] += r.n_tokens
         assert all(n[s] / sum(n.values()) == pytest.approx(w, abs=0.03) for s, w in (("a", 0.5), ("b", 0.3), ("c", 0.2)))
+
+
+def test_emitted_rows_keep_the_bound(spark):
+    """After any slot every source's emitted tokens lie less than two blocks from its share; blocks hold a document."""
+    rnd = random.Random(18)
+    rows = [(i, "abc"[i % 3], "word " * rnd.choice([1, 5, 400])) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    mix = spark.createDataFrame([("a", 0.5, 4), ("b", 0.3, 4), ("c", 0.2, 4)], "source string, target_share double, max_repeats int")
+    uses = sorted(mixing.scheduled(docs, mix, blocks=100_000, bucket_rows=50).collect(), key=lambda r: r.slot)
+    total = Counter()
+    for r in uses:
+        total[r.source] += r.n_tokens
+    block = max(r.n_tokens for r in uses)
+    done, every = Counter(), sum(total.values())
+    for slot, group in itertools.groupby(uses, key=lambda r: r.slot):
+        for r in group:
+            done[r.source] += r.n_tokens
+        if slot < max(u.slot for u in uses):
+            assert all(abs(done[s] - (slot + 1) * block * total[s] / every) < 2 * block for s in total)
+    assert Counter((r.doc_id, r.use) for r in uses).most_common(1)[0][1] == 1

@@ -193,7 +193,7 @@ def test_encoding_equals_library(spark):
 
 
 def test_round_trip():
-    m = bpe.Merges(bpe.DEFAULT_VOCABULARY)
+    m = bpe.Merges.load(bpe.DEFAULT_VOCABULARY)
     import json
 
     vocab = {v: k for k, v in json.load(open(bpe.DEFAULT_VOCABULARY, encoding="utf-8"))["model"]["vocab"].items()}
