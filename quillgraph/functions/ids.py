@@ -26,9 +26,11 @@ def canonical_url(c: Column) -> Column:
     query = F.regexp_extract(bare, "\\?(.*)$", 1)
     key = lambda p: F.lower(F.split_part(p, F.lit("="), F.lit(1)))
     kept = F.filter(F.split(query, "&"), lambda p: (p != "") & ~key(p).startswith(TRACKING_PREFIX) & ~key(p).isin(*TRACKING_KEYS))
-    # a parameter without "=" is written with an empty value
-    pairs = F.array_sort(F.transform(kept, lambda p: F.struct(F.split_part(p, F.lit("="), F.lit(1)).alias("k"), F.regexp_extract(p, "=(.*)$", 1).alias("v"))))
-    text = F.array_join(F.transform(pairs, lambda p: F.concat(p["k"], F.lit("="), p["v"])), "&")
+    # keys and values are read and written anew, so one spelling of an escape remains; one without "=" gets an empty value
+    read = lambda x: F.coalesce(F.try_url_decode(x), x)
+    write = lambda x: F.replace(F.replace(F.url_encode(x), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+    pairs = F.array_sort(F.transform(kept, lambda p: F.struct(read(F.split_part(p, F.lit("="), F.lit(1))).alias("k"), read(F.regexp_extract(p, "=(.*)$", 1)).alias("v"))))
+    text = F.array_join(F.transform(pairs, lambda p: F.concat(write(p["k"]), F.lit("="), write(p["v"]))), "&")
     out = F.concat(scheme, F.lit("://"), host, path, F.when(text != "", F.concat(F.lit("?"), text)).otherwise(F.lit("")))
     return F.when(scheme.isin("http", "https"), out).otherwise(u)
 

@@ -121,7 +121,8 @@ DISEASE_ENDS = ("病", "症", "炎", "癌", "瘤", "肿", "痛", "毒", "热", "
 
 
 def is_disease_title(c: Column) -> Column:
-    return F.coalesce(F.length(c).between(2, 20) & c.rlike("(" + "|".join(DISEASE_ENDS) + ")$"), F.lit(False))
+    t = strip(c)
+    return F.coalesce(F.length(t).between(2, 20) & t.rlike("(" + "|".join(DISEASE_ENDS) + ")$"), F.lit(False))
 
 
 def is_latin_word(c: Column) -> Column:

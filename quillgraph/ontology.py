@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.text import WHITE_SPACE
+
 # Entity types with their labels.
 ENTITY_TYPES = {
     "Disease": "疾病",
@@ -55,7 +57,7 @@ def entity_types(spark: SparkSession) -> DataFrame:
 
 def _lookup(value: Column, names: dict[str, str]) -> Column:
     """Exact id, then label, then id in any case; NULL where nothing fits."""
-    v = F.trim(value)
+    v = F.btrim(value, F.lit(WHITE_SPACE))
     ids = F.create_map(*(F.lit(x) for n in names for x in (n.upper(), n)))
     labels = F.create_map(*(F.lit(x) for n, label in names.items() for x in (label, n)))
     return F.coalesce(F.when(v.isin(*names), v), F.try_element_at(labels, v), F.try_element_at(ids, F.upper(v)))

@@ -95,38 +95,6 @@ def code_compatible(expected: Column, actual: Column) -> Column:
     return (e != "") & (a != "") & (F.startswith(a, e) | F.startswith(e, a))
 
 
-def reject_reason(title: Column, content: Column, source: Column, record_id: Column, min_chars: int = 40) -> Column:
-    """First reason that a candidate is rejected for; NULL if it is accepted."""
-    t, c = text.squeeze(title), text.squeeze(content)
-    return (
-        F.when(t == "", "missing_title")
-        .when(F.length(c) < min_chars, "text_too_short")
-        .when((F.coalesce(source, F.lit("")) == "") | (F.coalesce(record_id, F.lit("")) == ""), "missing_source_identity")
-    )
-
-
-def validation_errors(records: DataFrame, catalog_ids: DataFrame) -> DataFrame:
-    """``run_id, document_id, errors`` of canonical documents; unknown categories by a join on the exploded ids."""
-    r = parsed(records)
-    d = F.col("doc")
-    cats = r.select("run_id", "document_id", F.explode_outer("doc.classifications.category_id").alias("category_id"))
-    known = catalog_ids.select("category_id", F.lit(True).alias("known"))
-    strange = cats.where("category_id IS NOT NULL").join(known, "category_id", "left").groupBy("run_id", "document_id").agg(F.bool_or(F.col("known").isNull()).alias("strange"))
-    content = text.squeeze(d["text"]["content"])
-    errors = F.array_compact(
-        F.array(
-            F.when(F.coalesce(d["schema_version"], F.lit("")) != "1.0", "unsupported_schema_version"),
-            F.when(~F.coalesce(d["document_id"].rlike("^doc_[0-9a-f]{24}$"), F.lit(False)), "invalid_document_id"),
-            F.when((F.coalesce(d["source"]["name"], F.lit("")) == "") | (F.coalesce(d["source"]["record_id"], F.lit("")) == ""), "invalid_source"),
-            F.when(text.squeeze(d["bibliography"]["title"]) == "", "missing_title"),
-            F.when(content == "", "missing_content").when(F.coalesce(d["text"]["content_hash"], F.lit("")) != ids.text_hash(d["text"]["content"]), "content_hash_mismatch"),
-            F.when(F.coalesce(F.size(d["classifications"]), F.lit(0)) <= 0, "missing_classification"),
-            F.when(F.col("strange"), "unknown_category"),
-        )
-    )
-    return r.join(strange, ["run_id", "document_id"], "left").select("run_id", "document_id", F.array_join(errors, ",").alias("errors"))
-
-
 def category_counts(records: DataFrame, categories: DataFrame) -> DataFrame:
     """``category_id, documents`` of every category, 0 where no document names it; a document counts once a category."""
     r = parsed(records).select(F.col("doc.document_id").alias("d"), F.explode("doc.classifications.category_id").alias("category_id"))

@@ -108,3 +108,9 @@ def purge(df: DataFrame, removed: DataFrame, keys: tuple[str, ...]) -> DataFrame
     for k in keys:
         df = df.join(ids, F.col(k) == F.col("_gone"), "left_anti")
     return df
+
+
+def candidates(flagged: DataFrame) -> DataFrame:
+    """The rows of a cleaning report: facts that break a rule, with their rules."""
+    cols = ("id", "subject", "subject_type", "relation", "object", "object_type", "source_document_id", "source_text")
+    return flagged.where(F.size("broken") > 0).select(*cols, F.col("broken").alias("rules"))

@@ -150,7 +150,7 @@ def purge_triples(spark, d):
     return rules.purge(table(spark, d, "triples"), rules.off_topic(_d(spark, d), "转载|综述|问答"), ("source_document_id",)).select("id")
 
 
-@query(f"SELECT doc_id, title FROM documents WHERE length(title) BETWEEN 2 AND 20 AND {sql.ends('title', text.DISEASE_ENDS)}")
+@query(f"SELECT doc_id, title FROM documents WHERE length({sql.s('title')}) BETWEEN 2 AND 20 AND {sql.ends(sql.s('title'), text.DISEASE_ENDS)}")
 def disease_titles(spark, d):
     return _d(spark, d).where(text.is_disease_title(F.col("title"))).select("doc_id", "title")
 
@@ -201,28 +201,6 @@ def seed_state(spark, d):
     return store.seed_state(table(spark, d, "triples"), first_rows(spark, d), table(spark, d, "extract_state"))
 
 
-_UP = f"""{FIRST}, t AS (SELECT * FROM docs1 WHERE doc_id % 2 = 0), s AS (SELECT * FROM docs1 WHERE doc_id % 3 = 0)"""
-
-
-@query(f"WITH {_UP} SELECT coalesce(t.document_id, s.document_id) AS document_id, CASE WHEN t.document_id IS NOT NULL THEN t.category_ids ELSE s.category_ids END AS category_ids, CASE WHEN s.document_id IS NOT NULL THEN s.title || '+' ELSE t.title END AS title FROM t FULL JOIN s ON s.document_id = t.document_id")
-def upsert_documents(spark, d):
-    docs = first_rows(spark, d).select("doc_id", "document_id", "category_ids", "title")
-    t, s = docs.where("doc_id % 2 = 0").drop("doc_id"), docs.where("doc_id % 3 = 0").drop("doc_id").withColumn("title", F.concat("title", F.lit("+")))
-    return store.upsert(t, s, "document_id", ["title"])
-
-
-@query(f"WITH {_UP} SELECT document_id, title FROM t UNION ALL SELECT document_id, title FROM s WHERE document_id NOT IN (SELECT document_id FROM t)")
-def insert_missing_documents(spark, d):
-    docs = first_rows(spark, d).select("doc_id", "document_id", "title")
-    return store.insert_missing(docs.where("doc_id % 2 = 0").drop("doc_id"), docs.where("doc_id % 3 = 0").drop("doc_id"), "document_id")
-
-
-@query(f"WITH {_UP} SELECT coalesce(s.document_id, t.document_id) AS document_id, CASE WHEN s.document_id IS NOT NULL THEN s.title ELSE t.title END AS title FROM t FULL JOIN s ON s.document_id = t.document_id")
-def merge_reports(spark, d):
-    docs = first_rows(spark, d).select("doc_id", "document_id", "title")
-    return store.merge_reports(docs.where("doc_id % 3 = 0").drop("doc_id"), docs.where("doc_id % 2 = 0").drop("doc_id"))
-
-
 _NINE = ("document_id", "category_ids", "title", "content", "source_url", "license", "collected_at", "content_hash", "quality_score")
 _BATCH = f"""{FIRST}, s AS (SELECT json_extract_string(canonical_json, '$.document_id') AS document_id, '[' || coalesce(array_to_string(list_transform(json_extract_string(canonical_json, '$.classifications[*].category_id'), lambda c: '"' || c || '"'), ', '), '') || ']' AS category_ids,
   json_extract_string(canonical_json, '$.bibliography.title') AS title, json_extract_string(canonical_json, '$.text.content') AS content, coalesce(json_extract_string(canonical_json, '$.source.url'), '') AS source_url, coalesce(json_extract_string(canonical_json, '$.source.rights_statement'), 'unknown') AS license,
@@ -298,33 +276,6 @@ def legacy_projection(spark, d):
     return r.select("run_id", "document_id", F.col("doc.document_id").alias("doc"), F.col("doc.bibliography.title").alias("title"), F.array_join("doc.classifications.category_id", "|").alias("category_ids"), F.col("doc.source.url").alias("source_url"), F.col("doc.quality.score").alias("quality_score"))
 
 
-_REASON = f"CASE WHEN {sql.squeeze('title')} = '' THEN 'missing_title' WHEN length({sql.squeeze('content')}) < 120 THEN 'text_too_short' WHEN coalesce(source_name,'') = '' OR coalesce(source_record_id,'') = '' THEN 'missing_source_identity' END"
-
-
-def _candidates(spark, d):
-    r = collect.parsed(table(spark, d, "records"))
-    return r.withColumn("reason", collect.reject_reason(F.col("doc.bibliography.title"), F.col("doc.text.content"), F.col("source_name"), F.col("source_record_id"), 120))
-
-
-@query(f"WITH {_REC} SELECT run_id, document_id, {_REASON} AS reason FROM r")
-def candidate_reasons(spark, d):
-    return _candidates(spark, d).select("run_id", "document_id", "reason")
-
-
-@query(f"WITH {_REC} SELECT reason, count(*) AS n FROM (SELECT {_REASON} AS reason FROM r) WHERE reason IS NOT NULL GROUP BY reason")
-def rejections_by_reason(spark, d):
-    return _candidates(spark, d).where("reason IS NOT NULL").groupBy("reason").agg(F.count("*").alias("n"))
-
-
-@query(f"""WITH {_REC}, st AS (SELECT run_id, document_id, bool_or(c.category_id IS NULL) AS strange FROM (SELECT run_id, document_id, unnest(cats) AS cat FROM r) u LEFT JOIN clc_r_categories c ON c.category_id = u.cat GROUP BY 1, 2),
-  e AS (SELECT run_id, document_id, list_filter([CASE WHEN coalesce(version,'') <> '1.0' THEN 'unsupported_schema_version' END, CASE WHEN NOT coalesce(regexp_matches(jid, '^doc_[0-9a-f]{{24}}$'), false) THEN 'invalid_document_id' END,
-  CASE WHEN coalesce(sname,'') = '' OR coalesce(srid,'') = '' THEN 'invalid_source' END, CASE WHEN {sql.squeeze('title')} = '' THEN 'missing_title' END,
-  CASE WHEN {sql.squeeze('content')} = '' THEN 'missing_content' WHEN coalesce(jhash,'') <> 'sha256:' || sha256(content) THEN 'content_hash_mismatch' END, CASE WHEN len(cats) = 0 THEN 'missing_classification' END,
-  CASE WHEN strange THEN 'unknown_category' END], lambda x: x IS NOT NULL) AS errors FROM r LEFT JOIN st USING (run_id, document_id)) SELECT run_id, document_id, array_to_string(errors, ',') AS errors FROM e""")
-def validation_errors(spark, d):
-    return collect.validation_errors(table(spark, d, "records"), table(spark, d, "clc_r_categories"))
-
-
 _CC = f"{_REC}, n AS (SELECT cat, count(DISTINCT jid) AS n FROM (SELECT jid, unnest(cats) AS cat FROM r) GROUP BY cat), cc AS (SELECT c.category_id, coalesce(n.n, 0) AS documents, coalesce({_FLAG.format(sql.squeeze('c.reviewed'))}, false) AS reviewed FROM clc_r_categories c LEFT JOIN n ON n.cat = c.category_id)"
 
 
@@ -391,6 +342,40 @@ def bio_labels(spark, d):
     return lab.select("doc_id", "pos", F.array_join("labels", " ").alias("labels"), F.size(labels.spans_of(F.col("labels"))).alias("spans"))
 
 
+@query()
+def weak_dataset(spark, d):
+    """Weakly labelled sentences of whole texts: parts of the body, and the kinds of findings."""
+    parts = table(spark, d, "clc_r_categories").select(F.regexp_replace("clc_name", "(保健|病学|康复|药理|检验)$", "").alias("p")).distinct()
+    # bounded by the fixed table of categories
+    terms = [(r.p, "Part") for r in parts.collect()] + [(t, "Symptom") for t in ("钝痛", "跳痛", "刺痒", "发凉", "麻胀")]
+    lab = labels.weak_dataset(extract.sentence_rows(_d(spark, d), content="text"), terms)
+    return lab.select("doc_id", "pos", F.array_join("labels", " ").alias("labels"))
+
+
+def _kept(spark, d):
+    return table(spark, d, "triples").where("confidence >= 0.8")
+
+
+@query()
+def review_bio(spark, d):
+    """Training sentences of the facts that a reviewer keeps (here: those of high confidence)."""
+    return labels.review_dataset(_kept(spark, d)).select("sentence", F.array_join("labels", " ").alias("labels"), F.array_join("source_ids", ",").alias("source_ids")).orderBy("sentence")
+
+
+_LEARNED = sql.names(labels.SPAN_TYPES)
+
+
+@query(f"""WITH r AS (SELECT CASE WHEN NOT coalesce(subject_type IN {_LEARNED} AND object_type IN {_LEARNED}, false) THEN coalesce(subject_type, '?') || '/' || coalesce(object_type, '?')
+  WHEN coalesce(trim(source_text), '') = '' THEN 'no evidence' END AS reason FROM triples WHERE confidence >= 0.8) SELECT reason, count(*) AS n FROM r WHERE reason IS NOT NULL GROUP BY reason""")
+def review_skips(spark, d):
+    return labels.review_skips(_kept(spark, d))
+
+
+@query()
+def label_histogram(spark, d):
+    return labels.label_histogram(labels.review_dataset(_kept(spark, d)))
+
+
 @query("SELECT vec_id, list_position(embedding, list_max(embedding)) - 1 AS best FROM embeddings")
 def argmax(spark, d):
     return table(spark, d, "embeddings").select("vec_id", (F.array_position("embedding", F.array_max("embedding")) - 1).alias("best"))
@@ -431,10 +416,10 @@ def merge_provenance(spark, d):
     return r.select(F.get_json_object("canonical_json", "$.document_id").alias("document_id"), "content_hash", "run_id", "source_record_id").distinct()
 
 
-@query("SELECT sentence FROM (SELECT source_text AS sentence FROM triples WHERE id % 2 = 0 AND source_text IS NOT NULL) UNION ALL SELECT DISTINCT source_text FROM triples WHERE id % 2 = 1 AND source_text IS NOT NULL AND source_text NOT IN (SELECT source_text FROM triples WHERE id % 2 = 0 AND source_text IS NOT NULL)")
+@query("SELECT source_text AS sentence FROM triples WHERE source_text IS NOT NULL UNION ALL SELECT DISTINCT source_text FROM triple_evidence WHERE source_text IS NOT NULL AND source_text NOT IN (SELECT source_text FROM triples WHERE source_text IS NOT NULL)")
 def unseen_append(spark, d):
-    s = table(spark, d, "triples").where("source_text IS NOT NULL").select("id", F.col("source_text").alias("sentence"))
-    return labels.append_unseen(s.where("id % 2 = 0").select("sentence"), s.where("id % 2 = 1").select("sentence"))
+    s = lambda t: table(spark, d, t).where("source_text IS NOT NULL").select(F.col("source_text").alias("sentence"))
+    return labels.append_unseen(s("triples"), s("triple_evidence"))
 
 
 @query("SELECT layer AS part, source_text AS sentence FROM triples WHERE layer = 'rule' UNION ALL SELECT 'evidence', source_text FROM triple_evidence")
@@ -460,13 +445,23 @@ def span_prf(spark, d):
     return labels.precision_recall(_span_pairs(spark, d, 0.0)).select("tp", "fp", "fn", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
 
 
-@query(" UNION ALL ".join(f"(WITH {_PR.format(c)} SELECT {c}::DOUBLE AS threshold, CAST(tp AS BIGINT) AS tp, CAST(nf - tp AS BIGINT) AS fp, CAST(ng - tp AS BIGINT) AS fn FROM q)" for c in (0.5, 0.6, 0.7, 0.8)))
+_GRID = [(m, c) for m in (1, 2) for c in (0.5, 0.6, 0.7, 0.8)]
+_GOOD = "length(object) >= {0} AND confidence >= {1}"
+_SPANS = """s AS (SELECT source_document_id AS doc, id, subject || '|' || object AS span, layer, confidence, object FROM triples WHERE source_document_id IS NOT NULL AND subject IS NOT NULL AND object IS NOT NULL),
+ g AS (SELECT doc, list(DISTINCT span) FILTER (WHERE layer = 'llm') AS gold FROM s GROUP BY doc)"""
+
+
+@query(" UNION ALL ".join(f"""(WITH {_SPANS}, f AS (SELECT doc, list(DISTINCT span) FILTER (WHERE {_GOOD.format(m, c)}) AS found, count(*) FILTER (WHERE {_GOOD.format(m, c)}) AS kept, bool_or(NOT coalesce({_GOOD.format(m, c)}, false)) AS unsure FROM s WHERE layer = 'rule' GROUP BY doc),
+  j AS (SELECT coalesce(gold, []) AS gold, coalesce(found, []) AS found, coalesce(kept, 0) AS kept, coalesce(unsure, false) AS unsure FROM g LEFT JOIN f USING (doc))
+  SELECT {m} AS min_len, {c}::DOUBLE AS threshold, sum(len(list_intersect(gold, found)))::BIGINT AS tp, sum(len(found) - len(list_intersect(gold, found)))::BIGINT AS fp, sum(len(gold) - len(list_intersect(gold, found)))::BIGINT AS fn, sum(kept)::BIGINT AS kept,
+   round(count(*) FILTER (WHERE unsure AND len(gold) > 0) / greatest(sum(len(gold)), 1), 6) AS routed FROM j)""" for m, c in _GRID))
 def threshold_grid(spark, d):
-    out = None
-    for c in (0.5, 0.6, 0.7, 0.8):
-        one = labels.precision_recall(_span_pairs(spark, d, c)).select(F.lit(c).alias("threshold"), "tp", "fp", "fn")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Facts of the rule layer against those of the llm layer per document, at every least length and confidence."""
+    t = table(spark, d, "triples").where("source_document_id IS NOT NULL AND subject IS NOT NULL AND object IS NOT NULL")
+    span = F.concat_ws("|", "subject", "object")
+    found = F.struct(span.alias("span"), F.length("object").alias("size"), F.coalesce("confidence", F.lit(-1.0)).alias("confidence"))
+    docs = t.groupBy("source_document_id").agg(F.collect_set(F.when(F.col("layer") == "llm", span)).alias("gold"), F.collect_list(F.when(F.col("layer") == "rule", found)).alias("spans"))
+    return labels.threshold_grid(docs, (1, 2), (0.5, 0.6, 0.7, 0.8)).select("min_len", "threshold", "tp", "fp", "fn", "kept", F.round("routed", 6).alias("routed"))
 
 
 @query()
@@ -506,33 +501,12 @@ def query_term_match(spark, d):
     return r.join(raw, F.col("category_id") == F.col("k")).groupBy("run_id", "document_id", "category_id").agg(F.bool_or(collect.term_matches(F.col("term"), F.col("body"), False)).alias("matched"))
 
 
-_ANCHORS = ("显影检查", "检测", "片", "注射液", "胶囊", "颗粒", "新发病例", "血药浓度", "病死率")
-
-
-@query("SELECT doc_id, " + " + ".join(f"CAST(contains(coalesce(content,''), '{a}') AS INT)" for a in _ANCHORS) + " AS anchors FROM documents")
-def anchor_counts(spark, d):
-    return _d(spark, d).select("doc_id", sum((F.contains(F.coalesce("content", F.lit("")), F.lit(a)).cast("int") for a in _ANCHORS), F.lit(0)).alias("anchors"))
-
-
 @query(f"SELECT category_id FROM clc_r_categories WHERE category_id IN ('clc_r132', 'clc_r999') OR {_CODE} IN ('R155', 'R200')")
 def category_select(spark, d):
     c = table(spark, d, "clc_r_categories")
     return c.where(F.col("category_id").isin("clc_r132", "clc_r999") | ids.class_code(F.col("clc_code")).isin("R155", "R200")).select("category_id")
 
 
-@query(f"WITH {_REC} SELECT run_id, document_id, floor(least((CASE WHEN coalesce(source_name,'') = 'mediawiki' THEN 0.48::DOUBLE ELSE 0.58::DOUBLE END) + 0.20::DOUBLE * (CASE WHEN contains(lower(title), '综合征') THEN 1 ELSE 0 END) + 0.08::DOUBLE * (CASE WHEN contains(content, '综合征') THEN 1 ELSE 0 END) + (CASE WHEN length(content) >= 200 THEN 0.06::DOUBLE ELSE 0.0::DOUBLE END), 0.95::DOUBLE) * 100.0::DOUBLE + 0.5::DOUBLE) / 100.0::DOUBLE AS relevance FROM r")
-def relevance_score(spark, d):
-    r = collect.parsed(table(spark, d, "records")).select("run_id", "document_id", F.coalesce("source_name", F.lit("")).alias("src"), F.col("doc.bibliography.title").alias("title"), F.col("doc.text.content").alias("content"))
-    has = lambda c: F.when(F.contains(c, F.lit("综合征")), 1).otherwise(0)
-    return r.select("run_id", "document_id", scores.relevance(F.col("src"), has(F.lower("title")), has(F.col("content")), F.length("content"), F.lit(False)).alias("relevance"))
-
-
-@query("SELECT doc_id, floor(least(0.25::DOUBLE + least(coalesce(length(title), 0) / 100.0::DOUBLE, 0.15::DOUBLE) + least(coalesce(length(content), 0) / 1200.0::DOUBLE, 0.30::DOUBLE) + 0.10::DOUBLE + 0.5::DOUBLE * 0.20::DOUBLE, 0.99::DOUBLE) * 100.0::DOUBLE + 0.5::DOUBLE) / 100.0::DOUBLE AS quality FROM documents")
-def document_quality(spark, d):
-    size = lambda c: F.coalesce(F.length(c), F.lit(0))
-    return _d(spark, d).select("doc_id", scores.document_quality(size("title"), size("content"), F.lit(True), F.lit(0.5)).alias("quality"))
-
-
 @query("SELECT category_id, 'sha256:' || sha256(CAST(to_json({'category_id': category_id, 'clc_code': clc_code, 'clc_name': clc_name}) AS VARCHAR)) AS fingerprint FROM clc_r_categories")
 def row_fingerprints(spark, d):
     c = table(spark, d, "clc_r_categories")

@@ -65,7 +65,8 @@ def valid_triples_stored(spark, d):
 
 
 def _rejects(spark, d):
-    return _t(spark, d).where("confidence < 0.4 AND id % 3 = 0")
+    """The review list of these queries: every fact of low confidence."""
+    return _t(spark, d).where("confidence < 0.4")
 
 
 _G = sql.names(rules.GENERIC)
@@ -79,7 +80,7 @@ flags AS (SELECT id, confidence, list_filter([
    CASE WHEN s <> '' AND st IN {sql.names(rules.SUFFIX_TYPES)} AND {sql.ends('s', rules.DISCIPLINE_ENDS)} THEN 'suffix' END,
    CASE WHEN s <> '' AND s = ti AND {sql.ends('ti', rules.TITLE_ENDS)} THEN 'doc_title' END,
    CASE WHEN ot <> 'Drug' AND contains(o, '、') THEN 'fragment' END,
-   CASE WHEN confidence < 0.4 AND id % 3 = 0 THEN 'review' END,
+   CASE WHEN confidence < 0.4 THEN 'review' END,
    CASE WHEN s IN {sql.names(rules.SYNDROMES)} AND st = 'Disease' THEN 'tcm_syndrome' END], lambda r: r IS NOT NULL) AS broken FROM x)
 """
 
@@ -129,29 +130,11 @@ def title_left(spark, d):
     return t.join(x, t["source_document_id"] == x["k"], "left").select("id", "subject", F.coalesce("title", F.lit("")).alias("title"))
 
 
-@query("SELECT id, subject, relation, object FROM triples WHERE confidence < 0.4 AND id % 3 = 0")
+@query("SELECT id, subject, relation, object FROM triples WHERE confidence < 0.4")
 def review_semi(spark, d):
     return _flagged(spark, d).where(F.array_contains("broken", "review")).select("id", "subject", "relation", "object")
 
 
-FLAGS_LOW = FLAGS.replace("confidence < 0.4 AND id % 3 = 0", "confidence < 0.4")
-
-
-def _flagged_low(spark, d):
-    """With every fact of low confidence on the review list."""
-    return rules.broken_rules(_t(spark, d), titles(spark, d), _t(spark, d).where("confidence < 0.4"))
-
-
-@query(f"WITH {FLAGS_LOW} SELECT id, array_to_string(broken, ',') AS broken FROM flags")
-def rule_flags_low(spark, d):
-    return _flagged_low(spark, d).select("id", F.array_join("broken", ",").alias("broken"))
-
-
-@query("SELECT id, subject, relation, object FROM triples WHERE confidence < 0.4")
-def review_semi_low(spark, d):
-    return _flagged_low(spark, d).where(F.array_contains("broken", "review")).select("id", "subject", "relation", "object")
-
-
 _KEEP = f"row_number() OVER (PARTITION BY {sql.s('subject')}, {sql.s('relation')}, {sql.s('object')} ORDER BY coalesce(confidence, 0) DESC, id)"
 
 
@@ -309,9 +292,31 @@ def duplicate_pairs(spark, d):
     return _t(spark, d).groupBy("subject", "object").agg(F.count("*").alias("n"), F.nullif(F.array_join(F.array_sort(F.collect_set("layer")), ","), F.lit("")).alias("layers")).where("n > 1")
 
 
-@query("SELECT id, subject, relation, object, CAST(NULL AS VARCHAR) AS review FROM triples")
+@query("SELECT id, subject, subject_type, relation, object, object_type, source_document_id, source_text, confidence, layer, CAST(NULL AS VARCHAR) AS review FROM triples ORDER BY id")
 def review_export(spark, d):
-    return _t(spark, d).select("id", "subject", "relation", "object", F.lit(None).cast("string").alias("review"))
+    """Every fact in the order of its id, the verdict left open."""
+    return _t(spark, d).drop("trained").withColumn("review", F.lit(None).cast("string")).orderBy("id")
+
+
+_CAND = "cand AS (SELECT f.id, t.subject, t.subject_type, t.relation, t.object, t.object_type, t.source_document_id, t.source_text, array_to_string(f.broken, ',') AS rules FROM flags f JOIN triples t USING (id) WHERE len(f.broken) > 0)"
+
+
+@query(f"WITH {FLAGS}, {_CAND} SELECT * FROM cand")
+def clean_candidates(spark, d):
+    """The rows of the cleaning report: every fact that breaks a rule, with its rules."""
+    return rules.candidates(_flagged(spark, d)).withColumn("rules", F.array_join("rules", ","))
+
+
+@query(f"WITH {FLAGS}, {_CAND} SELECT id, subject, object, rules FROM cand ORDER BY len(string_split(rules, ',')) DESC, id LIMIT 20")
+def clean_report_head(spark, d):
+    """The report's head: the facts that break most rules."""
+    c = rules.candidates(_flagged(spark, d))
+    return c.orderBy(F.desc(F.size("rules")), "id").limit(20).select("id", "subject", "object", F.array_join("rules", ",").alias("rules"))
+
+
+@query(f"WITH {FLAGS} SELECT count(*) AS db_total, count(*) FILTER (WHERE len(broken) > 0) AS candidate_total FROM flags")
+def clean_totals(spark, d):
+    return _flagged(spark, d).agg(F.count("*").alias("db_total"), F.count_if(F.size("broken") > 0).alias("candidate_total"))
 
 
 @query(f"""WITH k AS (SELECT {sql.s('subject')} AS subject, {sql.s('relation')} AS relation, {sql.s('object')} AS object, id, count(*) OVER (PARTITION BY {sql.s('subject')}, {sql.s('relation')}, {sql.s('object')}) AS group_size FROM triples WHERE {sql.VALID})

@@ -57,12 +57,12 @@ def case_map(x: str, pairs: dict[str, str]) -> str:
 
 
 def resolve_type(x: str) -> str:
-    x = f"trim({x})"
+    x = f"trim({x}, {WS})"
     return f"coalesce({case_map(x, {t: t for t in ENTITY_TYPES})}, {case_map(x, {v: k for k, v in ENTITY_TYPES.items()})}, {case_map(f'upper({x})', {t.upper(): t for t in ENTITY_TYPES})})"
 
 
 def resolve_relation(x: str) -> str:
-    x = f"trim({x})"
+    x = f"trim({x}, {WS})"
     return f"coalesce({case_map(x, {r: r for r in RELATIONS})}, {case_map(x, {v[0]: r for r, v in RELATIONS.items()})}, {case_map(f'upper({x})', {r: r for r in RELATIONS})})"
 
 

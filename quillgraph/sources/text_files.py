@@ -59,10 +59,12 @@ def read_any_encoding(spark: SparkSession, path: str) -> DataFrame:
 
 # Tags of the exports.
 TAGS = (
-    "RT", "ID", "A1", "A2", "AU", "T1", "T2", "TI", "JF", "JO", "YR", "PY", "FD", "VO", "IS", "SP", "OP", "EP", "K1", "KW", "AB", "N1", "N2", "SN",
-    "LA", "DO", "DI", "UL", "UR", "LK", "CL", "CLC", "CN", "CT", "PB", "PP", "AD", "DB", "DS", "ER", "SR", "LL", "WT", "TY",
+    "RT", "SR", "A1", "A2", "A3", "A4", "AU", "AD", "T1", "T2", "TI",
+    "JF", "JO", "YR", "PY", "FD", "IS", "OP", "K1", "KW", "AB", "N2",
+    "SN", "CN", "LA", "DS", "DO", "DI", "UL", "UR", "LK", "ID", "CL",
+    "CLC", "VO", "VL", "SP", "EP", "PB", "PP", "CY", "M1", "M3", "ER",
 )
-_TAG = "^(" + "|".join(TAGS) + ")(?:\\s+|\\s*-\\s*|$)(.*)$"
+_TAG = "(?i)^(" + "|".join(TAGS) + ")(?:[ \\t]{1,3}(.*))?[ \\t]*$"
 
 
 def tagged_records(files: DataFrame) -> DataFrame:
@@ -71,8 +73,8 @@ def tagged_records(files: DataFrame) -> DataFrame:
     Lines without a tag continue the tag above; a tag without a value ends it. Records are numbered by a running sum
     per file, values gathered per record.
     """
-    lines = files.select("path", F.posexplode(F.split("content", "\\r?\\n")).alias("line", "raw"))
-    tagged = lines.select("path", "line", F.regexp_extract("raw", _TAG, 1).alias("tag"), text.squeeze(F.regexp_extract("raw", _TAG, 2)).alias("value"), text.squeeze(F.col("raw")).alias("raw"))
+    lines = files.select("path", F.posexplode(F.split("content", "\\r\\n|\\r|\\n")).alias("line", "raw"))
+    tagged = lines.select("path", "line", F.upper(F.regexp_extract("raw", _TAG, 1)).alias("tag"), text.squeeze(F.regexp_extract("raw", _TAG, 2)).alias("value"), text.squeeze(F.col("raw")).alias("raw"))
     by_file = Window.partitionBy("path").orderBy("line")
     t = tagged.withColumn("record", F.sum((F.col("tag") == "RT").cast("int")).over(by_file)).withColumn("field", F.sum((F.col("tag") != "").cast("int")).over(by_file))
     heads = Window.partitionBy("path", "field")

@@ -4,10 +4,11 @@ import pytest
 
 from compare import connection, of_df, of_sql
 from quillgraph.operators import value_queries
-from quillgraph.plans import document_queries, fact_queries, graph_queries
+from quillgraph.plans import acceptance_queries, document_queries, fact_queries, graph_queries
 
-QUERIES = {n: f for m in (fact_queries, graph_queries, document_queries) for n, f in m.Q.items()}
-SQL = {n: t for m in (fact_queries, graph_queries, document_queries) for n, t in m.SQL.items()}
+PLANS = (fact_queries, graph_queries, document_queries, acceptance_queries)
+QUERIES = {n: f for m in PLANS for n, f in m.Q.items()}
+SQL = {n: t for m in PLANS for n, t in m.SQL.items()}
 
 
 @pytest.fixture(scope="module")
@@ -33,7 +34,7 @@ def test_values_run(spark, sf_dir, con):
 
 
 def test_names_are_unique():
-    assert len(QUERIES) == sum(len(m.Q) for m in (fact_queries, graph_queries, document_queries))
+    assert len(QUERIES) == sum(len(m.Q) for m in PLANS)
 
 
 def test_entry(spark):
