@@ -8,12 +8,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import ontology
 from ..functions.ids import node_id
 from ..functions.text import stripped
+from ..runtime import discard, materialize
+from .components import connected
 from .rules import valid
 
 DEFAULT_CONFIDENCE = 0.72
@@ -23,6 +25,19 @@ DEFAULT_CONFIDENCE = 0.72
 class Graph:
     nodes: DataFrame  # id, name, type
     edges: DataFrame  # id, source, target, relation, confidence, n_evidence, first_pos
+    facts: DataFrame | None = None  # source, relation, target, source_document_id, source_text, flags, pos
+
+
+@dataclass
+class View(Graph):
+    """A part of a graph with the totals before it was cut: one row total_nodes, total_edges."""
+
+    totals: DataFrame | None = None
+
+
+def name_order(*columns: str) -> list:
+    """Order of names as a Chinese reader expects it, then by code point."""
+    return [F.collate(F.col(c), "zh") for c in columns] + [F.col(c) for c in columns]
 
 
 def build(triples: DataFrame, pos: str = "id") -> Graph:
@@ -39,7 +54,40 @@ def build(triples: DataFrame, pos: str = "id") -> Graph:
     nodes = t.select(F.explode(F.array(F.struct(F.col("source").alias("id"), F.col("subject").alias("name"), F.col("st").alias("type")), F.struct(F.col("target").alias("id"), F.col("object").alias("name"), F.col("ot").alias("type")))).alias("n")).select("n.*").distinct()
     proof = F.when((F.col("source_document_id") != "") | (F.col("source_text") != ""), F.struct("source_document_id", "source_text"))
     edges = t.groupBy("source", "relation", "target").agg(F.least(F.lit(1.0), F.min("confidence")).alias("confidence"), F.count_distinct(proof).alias("n_evidence"), F.min("pos").alias("first_pos"))
-    return Graph(nodes, edges.withColumn("id", F.to_json(F.array("source", "relation", "target"))))
+    flags = F.col("quality_flags") if "quality_flags" in triples.columns else F.array().cast("array<string>")
+    facts = valid(triples).select(
+        node_id(stripped(F.col("subject")), kind("subject_type")).alias("source"), stripped(F.col("relation")).alias("relation"), node_id(stripped(F.col("object")), kind("object_type")).alias("target"),
+        stripped(F.col("source_document_id")).alias("source_document_id"), stripped(F.col("source_text")).alias("source_text"), flags.alias("flags"), F.col(pos).alias("pos"),
+    )
+    return Graph(nodes, edges.withColumn("id", F.to_json(F.array("source", "relation", "target"))), facts)
+
+
+def evidence(g: Graph) -> DataFrame:
+    """``source, relation, target, position, source_document_id, source_text``: each edge's different evidence in the
+    order of its first fact, one row each, so that an edge of very many facts is no single value."""
+    e = g.facts.where("source_document_id <> '' OR source_text <> ''")
+    e = e.groupBy("source", "relation", "target", "source_document_id", "source_text").agg(F.min("pos").alias("pos"))
+    w = Window.partitionBy("source", "relation", "target").orderBy("pos")
+    return e.select("source", "relation", "target", F.row_number().over(w).alias("position"), "source_document_id", "source_text")
+
+
+def edge_flags(g: Graph) -> DataFrame:
+    """``source, relation, target, flags``: the union of an edge's quality flags in the order they are first seen.
+
+    Flags are gathered by their first place, so a list is no longer than the number of different flags.
+    """
+    f = g.facts.select("source", "relation", "target", F.posexplode("flags").alias("i", "flag"), "pos")
+    f = f.groupBy("source", "relation", "target", "flag").agg(F.min(F.struct("pos", "i")).alias("at"))
+    return f.groupBy("source", "relation", "target").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "flag"))), lambda x: x["flag"]).alias("flags"))
+
+
+def _totals(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    # one row each
+    return nodes.agg(F.count("*").alias("total_nodes")).join(F.broadcast(edges.agg(F.count("*").alias("total_edges"))))
+
+
+def full(g: Graph) -> View:
+    return View(g.nodes, g.edges, g.facts, _totals(g.nodes, g.edges))
 
 
 def statistics(triples: DataFrame) -> DataFrame:
@@ -74,8 +122,10 @@ def confident(g: Graph, least: float) -> Graph:
 
 
 def search(g: Graph, query: str) -> DataFrame:
+    """Nodes whose name holds the query in any case, in the order of their names; an empty query finds all."""
     q = query.strip().lower()
-    return g.nodes.where(F.contains(F.lower("name"), F.lit(q))) if q else g.nodes
+    found = g.nodes.where(F.contains(F.lower("name"), F.lit(q))) if q else g.nodes
+    return found.orderBy(*name_order("name"), "id")
 
 
 def _top(g: Graph, kind: str, degree: DataFrame, most: int) -> DataFrame:
@@ -88,14 +138,14 @@ def symptom_edges(g: Graph) -> DataFrame:
     return g.edges.where("relation = 'HAS_SYMPTOM'").join(kinds("source", "Disease"), "source").join(kinds("target", "Symptom"), "target")
 
 
-def bipartite(g: Graph, diseases: int = 110, symptoms: int = 70, most_edges: int = 800) -> Graph:
-    """The diseases and symptoms of highest degree and the first edges among them in input order."""
+def bipartite(g: Graph, diseases: int = 110, symptoms: int = 70, most_edges: int = 800) -> View:
+    """The diseases and symptoms of highest degree and the first edges among them in input order; totals of all."""
     e = symptom_edges(g)
     d = degrees(Graph(g.nodes, e))
     left, right = _top(g, "Disease", d, diseases), _top(g, "Symptom", d, symptoms)
     edges = e.join(F.broadcast(left.select(F.col("id").alias("source"))), "source", "left_semi").join(F.broadcast(right.select(F.col("id").alias("target"))), "target", "left_semi")
     edges = edges.orderBy("first_pos", "id").limit(most_edges)
-    return Graph(_used(left.unionByName(right), edges), edges)
+    return View(_used(left.unionByName(right), edges), edges, None, _totals(d.where("degree > 0"), e))
 
 
 def similar_pairs(g: Graph, least: int = 2) -> DataFrame:
@@ -109,9 +159,24 @@ def similar_pairs(g: Graph, least: int = 2) -> DataFrame:
     return pairs.where(F.col("shared") >= least).select(F.col("a").alias("source"), F.col("b").alias("target"), "shared")
 
 
-def similarity(g: Graph, diseases: int = 120, most_edges: int = 220) -> DataFrame:
-    """Edges of the similarity view: the strongest pairs among the diseases of highest weighted degree."""
+def similarity_view(g: Graph, diseases: int = 120, most_edges: int = 220) -> View:
+    """The similarity view: derived edges with the names of the shared symptoms, and the totals before the cut."""
     pairs = similar_pairs(g)
+    chosen = similarity(pairs, diseases, most_edges)
+    e = symptom_edges(g).select("source", "target", F.col("target_name").alias("name")).distinct()
+    # only the symptoms of the chosen pairs, bounded by ``most_edges``, are gathered
+    a = chosen.join(e.select("source", F.col("target").alias("symptom"), "name"), "source")
+    b = a.join(e.select(F.col("source").alias("target"), F.col("target").alias("symptom")), ["target", "symptom"])
+    names = b.groupBy("source", "target").agg(F.sort_array(F.collect_list("name")).alias("shared_names"))
+    edges = chosen.join(names, ["source", "target"]).select(
+        F.to_json(F.array(F.lit("derived"), "source", "target")).alias("id"), "source", "target", F.lit("SHARES_SYMPTOM").alias("relation"), F.lit(1.0).alias("confidence"), F.col("shared").alias("weight"), "shared_names"
+    )
+    ends = pairs.select(F.explode(F.array("source", "target")).alias("id")).distinct()
+    return View(_used(g.nodes, edges), edges, None, _totals(ends, pairs))
+
+
+def similarity(pairs: DataFrame, diseases: int = 120, most_edges: int = 220) -> DataFrame:
+    """The strongest ``pairs`` among the diseases of highest weighted degree."""
     weight = pairs.select(F.explode(F.array("source", "target")).alias("id"), "shared").groupBy("id").agg(F.sum("shared").alias("w"))
     chosen = weight.orderBy(F.desc("w"), "id").limit(diseases).select("id")
     for side in ("source", "target"):
@@ -119,18 +184,25 @@ def similarity(g: Graph, diseases: int = 120, most_edges: int = 220) -> DataFram
     return pairs.orderBy(F.desc("shared"), "source", "target").limit(most_edges)
 
 
-def neighbourhood(g: Graph, focus: str | None = None, limit: int = 80) -> Graph:
-    """The focus (default: highest degree), its neighbours of highest degree up to ``limit`` nodes, and all edges among them."""
+def adjacent(g: Graph, focus: DataFrame) -> DataFrame:
+    """Edges with the focus (one row ``f``) at either end, by equality of their ends."""
+    ends = g.edges.withColumn("_end", F.explode(F.array_distinct(F.array("source", "target"))))
+    return ends.join(focus, F.col("_end") == F.col("f")).drop("_end")
+
+
+def neighbourhood(g: Graph, focus: str | None = None, limit: int = 80) -> View:
+    """The focus (default: highest degree), its neighbours of highest degree up to ``limit`` nodes, and all edges among
+    them; the total counts the focus and all its neighbours."""
     d = g.nodes.join(degrees(g), "id")
     order = [F.desc("degree"), F.col("name"), F.col("type"), F.col("id")]
     first = (d.where(F.col("id") == focus) if focus else d.orderBy(*order)).limit(1).withColumn("is_focus", F.lit(1))
     f = F.broadcast(first.select(F.col("id").alias("f")))
-    near = g.edges.join(f, (F.col("source") == F.col("f")) | (F.col("target") == F.col("f"))).select(F.when(F.col("source") == F.col("f"), F.col("target")).otherwise(F.col("source")).alias("id"), "f").where("id <> f").select("id").distinct()
+    near = adjacent(g, f).select(F.when(F.col("source") == F.col("f"), F.col("target")).otherwise(F.col("source")).alias("id"), "f").where("id <> f").select("id").distinct()
     others = d.join(near, "id", "left_semi").withColumn("is_focus", F.lit(0))
     nodes = first.unionByName(others).orderBy(F.desc("is_focus"), *order).limit(max(1, limit))
     ids = F.broadcast(nodes.select("id"))
     edges = g.edges.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
-    return Graph(nodes.select("id", "name", "type", "degree"), edges)
+    return View(nodes.select("id", "name", "type", "degree"), edges, None, _totals(first.select("id").unionByName(near), edges))
 
 
 def representative(g: Graph, most_nodes: int, most_edges: int) -> DataFrame:
@@ -142,7 +214,8 @@ def representative(g: Graph, most_nodes: int, most_edges: int) -> DataFrame:
     """
     d = degrees(g)
     e = g.edges.join(d.select(F.col("id").alias("source"), F.col("degree").alias("ds")), "source").join(d.select(F.col("id").alias("target"), F.col("degree").alias("dt")), "target")
-    ranked = e.select("source", "target", "id", "confidence", (F.col("ds") + F.col("dt")).alias("weight"))
+    # ranked once and written: every batch reads it
+    ranked = materialize(e.select("source", "target", "id", "confidence", (F.col("ds") + F.col("dt")).alias("weight")), "ranked-edges")
     order = [F.desc("weight"), F.desc("confidence"), F.col("id")]
     visible: set[str] = set()
     edges: list[tuple[int, str, str, str]] = []
@@ -179,17 +252,64 @@ def representative(g: Graph, most_nodes: int, most_edges: int) -> DataFrame:
                 continue
             visible |= {r.source, r.target}
             edges.append((len(edges) + 1, r.id, r.source, r.target))
+    discard(ranked)
     return spark.createDataFrame(edges, schema)
 
 
 def dashboard(g: Graph) -> DataFrame:
-    """``panel, label, n``: nodes by type, edges by relation, isolated nodes, edges below 0.6, edges with evidence."""
+    """``panel, label, n``: nodes by type, edges by relation, isolated nodes, edges below 0.6, edges with evidence and
+    their percentage; the panels in this order, their entries by descending number."""
     by_type = g.nodes.groupBy(F.col("type").alias("label")).agg(F.count("*").alias("n")).select(F.lit("type").alias("panel"), "label", "n")
     by_rel = g.edges.groupBy(F.col("relation").alias("label")).agg(F.count("*").alias("n")).select(F.lit("relation").alias("panel"), "label", "n")
     alone = degrees(g).agg(F.count_if(F.col("degree") == 0).alias("n")).select(F.lit("isolated").alias("panel"), F.lit("").alias("label"), "n")
     low = g.edges.agg(F.count_if(F.col("confidence") < 0.6).alias("n")).select(F.lit("low_quality").alias("panel"), F.lit("").alias("label"), "n")
     proved = g.edges.agg(F.count_if(F.col("n_evidence") > 0).alias("n")).select(F.lit("with_evidence").alias("panel"), F.lit("").alias("label"), "n")
-    return by_type.unionByName(by_rel).unionByName(alone).unionByName(low).unionByName(proved)
+    share = F.when(F.count("*") > 0, F.floor(100 * F.count_if(F.col("n_evidence") > 0) / F.count("*") + 0.5)).otherwise(0).cast("long")
+    percent = g.edges.agg(share.alias("n")).select(F.lit("evidence_percent").alias("panel"), F.lit("").alias("label"), "n")
+    out = by_type.unionByName(by_rel).unionByName(alone).unionByName(low).unionByName(proved).unionByName(percent)
+    panels = F.array(*(F.lit(x) for x in ("type", "relation", "isolated", "low_quality", "with_evidence", "evidence_percent")))
+    return out.orderBy(F.array_position(panels, F.col("panel")), F.desc("n"), "label")
+
+
+def filter_panel(g: Graph, steps: tuple[int, int] = (50, 81)) -> DataFrame:
+    """``panel, label, n``: nodes of every type, edges of every relation, and for each hundredth of the slider the edges
+    of at least that confidence."""
+    by_type = g.nodes.groupBy(F.col("type").alias("label")).agg(F.count("*").alias("n")).select(F.lit("type").alias("panel"), "label", "n")
+    by_rel = g.edges.groupBy(F.col("relation").alias("label")).agg(F.count("*").alias("n")).select(F.lit("relation").alias("panel"), "label", "n")
+    marks = list(range(steps[0], steps[1] + 1))
+    counts = g.edges.agg(*(F.count_if(F.col("confidence") >= m / 100).alias(str(m)) for m in marks))
+    slider = counts.select(F.explode(F.array(*(F.struct(F.lit(f"{m / 100:.2f}").alias("label"), F.col(str(m)).alias("n")) for m in marks))).alias("x")).select(F.lit("slider").alias("panel"), "x.*")
+    return by_type.unionByName(by_rel).unionByName(slider)
+
+
+def entity_detail(g: Graph, focus: DataFrame) -> DataFrame:
+    """``relation, edges, evidence, documents`` of the edges of the focus (one row ``f``), by the relation's name."""
+    near = adjacent(g, F.broadcast(focus))
+    docs = near.select("source", "relation", "target").join(g.facts.where("source_document_id <> ''"), ["source", "relation", "target"])
+    docs = docs.groupBy("relation").agg(F.count_distinct("source_document_id").alias("documents"))
+    out = near.groupBy("relation").agg(F.count("*").alias("edges"), F.sum("n_evidence").alias("evidence"))
+    return out.join(docs, "relation", "left").fillna(0, ["documents"]).orderBy("relation")
+
+
+def packed(g: Graph) -> DataFrame:
+    """``component, nodes, edges`` of the connected parts, the largest first; nodes without an edge are parts of their own."""
+    linked = connected(g.edges.select(F.col("source").alias("a"), F.col("target").alias("b")))
+    parts = g.nodes.select("id").join(linked, "id", "left").select("id", F.coalesce("label", "id").alias("component"))
+    n = parts.groupBy("component").agg(F.count("*").alias("nodes"))
+    e = g.edges.join(parts, F.col("source") == parts["id"]).groupBy("component").agg(F.count("*").alias("edges"))
+    return n.join(e, "component", "left").fillna(0, ["edges"]).orderBy(F.desc("nodes"), "component")
+
+
+def drawn(g: Graph, focus: DataFrame) -> DataFrame:
+    """``id, degree, size`` of the nodes as they are drawn: the size grows with the root of the degree, the focus is larger."""
+    d = degrees(g).join(F.broadcast(focus), F.col("id") == F.col("f"), "left")
+    size = F.least(F.lit(34.0), 10 + 3 * F.sqrt("degree") + F.when(F.col("f").isNotNull(), 8.0).otherwise(0.0))
+    return d.select("id", "degree", size.alias("size"))
+
+
+def edge_width(weight: Column) -> Column:
+    """Width of a derived edge."""
+    return F.least(F.lit(7.0), 1.2 + 1.35 * F.log2(weight))
 
 
 def core_entities(g: Graph, most: int = 5) -> DataFrame:

@@ -49,9 +49,9 @@ def degree(spark, d):
     return graph.degrees(_g(spark, d))
 
 
-@query(f"WITH {E} SELECT id, name FROM nodes WHERE contains(lower(name), 'imr')")
+@query(f"WITH {E} SELECT id, name FROM nodes WHERE contains(lower(name), 'bk') ORDER BY name, id")
 def node_search(spark, d):
-    return graph.search(_g(spark, d), " IMR ").select("id", "name")
+    return graph.search(_g(spark, d), " BK ").select("id", "name")
 
 
 _FE = "fe AS (SELECT e.* FROM edges e JOIN nodes a ON a.id = e.source AND a.type IN ('Disease','Drug') JOIN nodes b ON b.id = e.target AND b.type IN ('Disease','Drug') WHERE e.relation IN ('TREATED_BY','RELATED_TO'))"
@@ -97,7 +97,83 @@ def similar_pairs(spark, d):
   ch AS (SELECT id FROM w ORDER BY w DESC, id LIMIT 120)
   SELECT source, target, shared FROM pairs WHERE source IN (SELECT id FROM ch) AND target IN (SELECT id FROM ch) ORDER BY shared DESC, source, target LIMIT 220""")
 def similarity_view(spark, d):
-    return graph.similarity(_g(spark, d))
+    return graph.similarity(graph.similar_pairs(_g(spark, d)))
+
+
+_SIM = f"""{E}, {_S}, {_PAIRS}, w AS (SELECT id, sum(shared) AS w FROM (SELECT source AS id, shared FROM pairs UNION ALL SELECT target, shared FROM pairs) GROUP BY id),
+  ch AS (SELECT id FROM w ORDER BY w DESC, id LIMIT 120), top AS (SELECT source, target, shared FROM pairs WHERE source IN (SELECT id FROM ch) AND target IN (SELECT id FROM ch) ORDER BY shared DESC, source, target LIMIT 220)"""
+
+
+@query(f"""WITH {_SIM} SELECT CAST(to_json(['derived', t.source, t.target]) AS VARCHAR) AS id, 'SHARES_SYMPTOM' AS relation, t.shared AS weight, string_agg(n.name, '|' ORDER BY n.name) AS shared_names
+  FROM top t JOIN sym a ON a.source = t.source JOIN sym b ON b.source = t.target AND b.target = a.target JOIN nodes n ON n.id = a.target GROUP BY ALL""")
+def similarity_names(spark, d):
+    v = graph.similarity_view(_g(spark, d))
+    return v.edges.select("id", "relation", "weight", F.array_join("shared_names", "|").alias("shared_names"))
+
+
+@query(f"WITH {E}, {_S}, {_PAIRS} SELECT (SELECT count(*) FROM (SELECT source FROM pairs UNION SELECT target FROM pairs)) AS total_nodes, (SELECT count(*) FROM pairs) AS total_edges")
+def similarity_totals(spark, d):
+    return graph.similarity_view(_g(spark, d)).totals
+
+
+@query(f"WITH {E} SELECT (SELECT count(*) FROM nodes) AS total_nodes, (SELECT count(*) FROM edges) AS total_edges")
+def full_totals(spark, d):
+    return graph.full(_g(spark, d)).totals
+
+
+@query(f"WITH {E}, {_S} SELECT (SELECT count(*) FROM (SELECT source FROM sym UNION SELECT target FROM sym)) AS total_nodes, (SELECT count(*) FROM sym) AS total_edges")
+def bipartite_totals(spark, d):
+    return graph.bipartite(_g(spark, d)).totals
+
+
+_CONF = "ce AS (SELECT * FROM edges WHERE confidence >= 0.7)"
+
+
+@query(f"WITH {E}, {_CONF} SELECT (SELECT count(*) FROM (SELECT source FROM ce UNION SELECT target FROM ce)) AS total_nodes, (SELECT count(*) FROM ce) AS total_edges")
+def confidence_totals(spark, d):
+    return graph.full(graph.confident(_g(spark, d), 0.7)).totals
+
+
+@query(f"""WITH {E}, p AS (SELECT source, relation, target, doc AS source_document_id, txt AS source_text, min(id) AS pos FROM v2 WHERE doc <> '' OR txt <> '' GROUP BY ALL)
+  SELECT source, relation, target, row_number() OVER (PARTITION BY source, relation, target ORDER BY pos) AS position, source_document_id, source_text FROM p""")
+def edge_evidence(spark, d):
+    """The different evidence of every edge, in order."""
+    return graph.evidence(_g(spark, d))
+
+
+def _flagged_graph(spark, d):
+    t = table(spark, d, "triples").withColumn("quality_flags", F.array_compact(F.array("layer", F.when(F.col("confidence") < 0.5, "low"), F.when(F.col("source_text").isNull(), "no_text"))))
+    return graph.build(t)
+
+
+@query(f"""WITH {E}, x AS (SELECT v2.source, v2.relation, v2.target, v2.id, unnest([1, 2, 3]) AS i, unnest([t.layer, CASE WHEN t.confidence < 0.5 THEN 'low' END, CASE WHEN t.source_text IS NULL THEN 'no_text' END]) AS flag FROM v2 JOIN triples t USING (id)),
+  f AS (SELECT source, relation, target, flag, min((id, i)) AS place FROM x WHERE flag IS NOT NULL GROUP BY ALL) SELECT source, relation, target, string_agg(flag, ',' ORDER BY place) AS flags FROM f GROUP BY ALL""")
+def edge_flags(spark, d):
+    """Union of the quality flags of an edge's facts in the order they are first seen."""
+    return graph.edge_flags(_flagged_graph(spark, d)).withColumn("flags", F.array_join("flags", ","))
+
+
+@query(f"""WITH {E} SELECT 'type' AS panel, type AS label, count(*) AS n FROM nodes GROUP BY type UNION ALL SELECT 'relation', relation, count(*) FROM edges GROUP BY relation
+  UNION ALL SELECT 'slider', printf('%.2f', m / 100), (SELECT count(*) FROM edges WHERE confidence >= m / 100) FROM (SELECT unnest(range(50, 82)) AS m)""")
+def filter_panel(spark, d):
+    return graph.filter_panel(_g(spark, d))
+
+
+@query()
+def component_sizes(spark, d):
+    return graph.packed(_g(spark, d))
+
+
+@query(f"WITH {E}, f AS (SELECT id FROM degree ORDER BY degree DESC, name, type, id LIMIT 1) SELECT id, degree, round(least(34.0, 10 + 3 * sqrt(degree) + CASE WHEN id = (SELECT id FROM f) THEN 8 ELSE 0 END), 6) AS size FROM degree")
+def node_sizes(spark, d):
+    g = _g(spark, d)
+    return graph.drawn(g, graph.core_entities(g, 1).select(F.col("id").alias("f"))).withColumn("size", F.round("size", 6))
+
+
+@query(f"WITH {_SIM} SELECT source, target, round(least(7.0, 1.2 + 1.35 * log2(shared)), 6) AS width FROM top")
+def edge_widths(spark, d):
+    pairs = graph.similarity(graph.similar_pairs(_g(spark, d)))
+    return pairs.select("source", "target", F.round(graph.edge_width(F.col("shared")), 6).alias("width"))
 
 
 _BI = f"""{E}, {_S}, sd AS (SELECT x AS id, count(*) AS degree FROM (SELECT source AS x FROM sym UNION ALL SELECT target FROM sym WHERE source <> target) GROUP BY x),
@@ -138,16 +214,25 @@ def node_order(spark, d):
 
 @query(f"""WITH {E} SELECT 'type' AS panel, type AS label, count(*) AS n FROM nodes GROUP BY type UNION ALL SELECT 'relation', relation, count(*) FROM edges GROUP BY relation
   UNION ALL SELECT 'isolated', '', count(*) FROM degree WHERE degree = 0 UNION ALL SELECT 'low_quality', '', count(*) FROM edges WHERE confidence < 0.6
-  UNION ALL SELECT 'with_evidence', '', count(*) FROM edges WHERE n_evidence > 0""")
+  UNION ALL SELECT 'with_evidence', '', count(*) FROM edges WHERE n_evidence > 0 UNION ALL SELECT 'evidence_percent', '', floor(100.0 * count(*) FILTER (WHERE n_evidence > 0) / count(*) + 0.5)::BIGINT FROM edges""")
 def dashboard(spark, d):
     return graph.dashboard(_g(spark, d))
 
 
-@query(f"WITH {E} SELECT relation, count(*) AS edges, sum(n_evidence)::BIGINT AS evidence FROM edges WHERE source = (SELECT id FROM degree ORDER BY degree DESC, name, type, id LIMIT 1) OR target = (SELECT id FROM degree ORDER BY degree DESC, name, type, id LIMIT 1) GROUP BY relation")
+_TOP1 = "f AS (SELECT id AS f FROM degree ORDER BY degree DESC, name, type, id LIMIT 1)"
+
+
+@query(f"""WITH {E}, {_TOP1}, near AS (SELECT * FROM edges, f WHERE source = f OR target = f),
+  docs AS (SELECT n.relation, count(DISTINCT v2.doc) AS documents FROM near n JOIN v2 ON v2.source = n.source AND v2.relation = n.relation AND v2.target = n.target WHERE v2.doc <> '' GROUP BY 1)
+  SELECT n.relation, count(*) AS edges, sum(n_evidence)::BIGINT AS evidence, coalesce(any_value(documents), 0) AS documents FROM near n LEFT JOIN docs ON docs.relation = n.relation GROUP BY n.relation""")
 def entity_detail(spark, d):
     g = _g(spark, d)
-    top = F.broadcast(graph.core_entities(g, 1).select(F.col("id").alias("f")))
-    return g.edges.join(top, (F.col("source") == F.col("f")) | (F.col("target") == F.col("f"))).groupBy("relation").agg(F.count("*").alias("edges"), F.sum("n_evidence").alias("evidence"))
+    return graph.entity_detail(g, graph.core_entities(g, 1).select(F.col("id").alias("f")))
+
+
+@query(f"WITH {E}, {_TOP1} SELECT (SELECT count(*) FROM (SELECT f AS id FROM f UNION SELECT source FROM edges, f WHERE target = f UNION SELECT target FROM edges, f WHERE source = f)) AS total_nodes")
+def neighbourhood_totals(spark, d):
+    return graph.neighbourhood(_g(spark, d)).totals.select("total_nodes")
 
 
 @query()
