@@ -38,6 +38,7 @@ from ..runtime import materialize
 
 STATS = ("n_words", "mean_word_len", "symbol_ratio", "punct_lines", "common_share", "bare_share")
 MOST_WORDS = 5_000
+MOST_LANGUAGES = 1_000
 
 # Fixed value: the share of a text that lies in sentences, which prose exceeds.
 LEAST_PROSE = 0.5
@@ -180,18 +181,29 @@ def common_words(common: DataFrame) -> dict[str | None, list[str]]:
 
 
 def _choice(words: list[str]) -> str:
-    """Java pattern of any of ``words``, the longest first, or of nothing."""
-    return "|".join(f"\\Q{w}\\E" for w in sorted(set(words), key=lambda w: (-len(w), w))) or "(?!)"
+    """Java pattern of any of ``words``, the longest first. Words of one beginning share a branch, and a look ahead at
+    the first character keeps the branches from being tried where none fits."""
+    quoted = lambda w: re.sub(r"[^\w\s]", r"\\\g<0>", w)
+    by_first: dict[str, list[str]] = {}
+    for w in sorted(set(words), key=lambda w: (-len(w), w)):
+        by_first.setdefault(w[0], []).append(w[1:])
+    single = [c for c, rest in by_first.items() if rest == [""]]
+    branches = [quoted(c) + "(?:" + "|".join(map(quoted, rest)) + ")" for c, rest in by_first.items() if rest != [""]]
+    if single:
+        branches.append("[" + "".join(map(quoted, single)) + "]")
+    return f"(?=[{''.join(map(quoted, by_first))}])(?:{'|'.join(branches)})"
 
 
-def _patterns(words: list[str]) -> tuple[str, str]:
-    """Java patterns of the common words in Han characters, which stand unspaced, and of all others."""
-    return _choice([w for w in words if _HAN_CHAR.search(w)]), f"(?iu)(?<!{_LETTER})(?:{_choice([w for w in words if not _HAN_CHAR.search(w)])})(?!{_LETTER})"
+def _patterns(words: list[str]) -> tuple[str | None, str | None]:
+    """Java patterns of the common words in Han characters, which stand unspaced, and of all others; None for no words."""
+    han, other = [w for w in words if _HAN_CHAR.search(w)], [w.lower() for w in words if not _HAN_CHAR.search(w)]
+    return _choice(han) if han else None, f"(?iu){_choice(other).replace('(?:', f'(?<!{_LETTER})(?:', 1)}(?!{_LETTER})" if other else None
 
 
 def _common_count(text: Column, words: list[str]) -> Column:
     han, other = _patterns(words)
-    return F.length(text) - F.length(F.regexp_replace(text, han, "")) + F.regexp_count(text, F.lit(other))
+    n = F.length(text) - F.length(F.regexp_replace(text, han, "")) if han else F.when(text.isNotNull(), F.lit(0))
+    return n + F.regexp_count(text, F.lit(other)) if other else n
 
 
 def text_stats(docs: DataFrame, common: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -202,8 +214,10 @@ def text_stats(docs: DataFrame, common: DataFrame, key: str = "doc_id", text: st
     src = docs.select(F.col(key).alias(key), F.col("lang").cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
     written = F.when(t.rlike(r"\S"), t)
     packed = F.length(F.regexp_replace(written, r"\s+", "")).cast("double")
-    letters = F.length(F.regexp_replace(written, r"[^\p{L}\p{N}]+", "")).cast("double")
-    n_words = F.regexp_count(written, F.lit(f"[{_HAN}]|{_LETTER}+")).cast("double")
+    others = F.length(F.regexp_replace(written, r"[\p{L}\p{N}]++", "")).cast("double")
+    letters = F.length(written) - others
+    signs = F.length(written) - F.length(F.regexp_replace(written, f"[{_HAN}]++", ""))
+    n_words = (signs + F.regexp_count(written, F.lit(f"{_LETTER}++"))).cast("double")
     found = _common_count(written, every)
     for lang, words in by_lang.items():
         if lang is not None:
@@ -212,7 +226,8 @@ def text_stats(docs: DataFrame, common: DataFrame, key: str = "doc_id", text: st
     ended = F.size(F.filter(lines, lambda s: s.rlike("[。！？!?.…．][”’」』\"')） ]*$")))
     han, other = _patterns(every)
     pieces = F.split(written, r"[。！？!?．\n\r]+|(?<=[a-z)])\. ")
-    bare = F.aggregate(F.filter(pieces, lambda s: ~(s.rlike(han) | s.rlike(other))), F.lit(0), lambda n, s: n + F.length(s))
+    common_in = lambda s: (s.rlike(han) if han else F.lit(False)) | (s.rlike(other) if other else F.lit(False))
+    bare = F.aggregate(F.filter(pieces, lambda s: ~common_in(s)), F.lit(0), lambda n, s: n + F.length(s))
     share = lambda a, b: F.coalesce(F.try_divide(a, b), F.when(written.isNotNull(), F.lit(0.0)))
     return src.select(
         key,
@@ -247,7 +262,10 @@ def language_sketches(stats: DataFrame, k: int = 400) -> DataFrame:
 def tails(stats: DataFrame, sketches: DataFrame, tail: float = 3.0, least_scale: float = 0.02) -> DataFrame:
     """``stats`` with each statistic's percentile (``_pct``), robust z-score (``_z``) and tail (``_tail``) in its
     language, and whether the tails select the text (``in_tail``)."""
+    # one row per language: broadcast where they are few, as texts must not be gathered by language
+    few = sketches.limit(MOST_LANGUAGES + 1).count() <= MOST_LANGUAGES
     langs = _quantiles(sketches, "lang").withColumnRenamed("lang", "of_lang")
+    langs = F.broadcast(langs) if few else langs
     merged = sketches.agg(F.count("*").alias("n_langs"), *(F.kll_merge_agg_double(s + "_sketch").alias(s + "_sketch") for s in STATS))
     whole = _quantiles(merged.where("n_langs > 0"))
     whole = whole.select(*(F.col(c).alias("all_" + c) for c in whole.columns if not c.endswith("_grid")))
@@ -270,7 +288,7 @@ def tails(stats: DataFrame, sketches: DataFrame, tail: float = 3.0, least_scale:
 def rate(stats: DataFrame, common: DataFrame, tail: float = 3.0) -> DataFrame:
     """Statistics with percentiles, z-scores and tails, the ``prose_share`` of texts in a tail, and ``is_prose``."""
     stats = materialize(stats, "text-stats")
-    rated = tails(stats, language_sketches(stats), tail)
+    rated = tails(stats, materialize(language_sketches(stats), "language-sketches"), tail)
     words = [w for by in common_words(common).values() for w in by]
     kept = [c for c in rated.columns if c != "text"]
 
