@@ -151,3 +151,126 @@ def pair_spans(spans: DataFrame, key: str = "doc_id", titles: DataFrame | None =
     pairs = pairs.where("subject IS NOT NULL").withColumn("_r", F.dense_rank().over(w)).where("_r = 1 AND subject <> object")
     rel = F.try_element_at(F.create_map(*(F.lit(x) for kv in RELATION_OF.items() for x in kv)), F.col("object_type"))
     return pairs.select(key, "pos", "subject", "object", "object_type", F.round(F.col("s_conf") * F.col("o_conf"), 4).alias("confidence"), rel.alias("relation"))
+
+
+# Terms that a span model finds by mistake, and names that are no symptoms.
+NOISE_TERMS = (
+    "服用", "使用", "应用", "治疗", "预防", "诊断", "检测", "检查", "感染", "出现", "发生", "导致", "引起", "造成", "表现", "患者",
+    "病人", "症状", "体征", "药物", "药品", "用药", "护理", "维生素",
+    "成年人", "成人", "儿童", "小孩", "老年人", "老人", "青少年", "婴儿", "女性", "男性", "人群", "患者群",
+)
+NO_SYMPTOMS = ("死亡", "死亡率", "發病", "發病率", "病死", "病死率", "疫情", "傳染", "爆發", "大流行", "患病人數", "病例", "確診", "治癒", "康復")
+
+
+def span_confidence(probabilities: Column, start: Column, end: Column) -> Column:
+    """Mean probability of a span's characters [start, end), rounded to four digits."""
+    part = F.slice(probabilities, start + 1, F.greatest(end - start, F.lit(0)))
+    return F.round(F.try_divide(F.aggregate(part, F.lit(0.0), lambda a, x: a + x), F.size(part)), 4)
+
+
+def kept_spans(spans: DataFrame, docs: DataFrame, key: str = "doc_id", lexicon: dict[str, list[str]] | None = None) -> DataFrame:
+    """Spans without noise: Latin words that the title lacks, general terms, names that are no symptoms and terms that
+    don't fit their type are left out, filler at the end is taken off. Documents without a title give none."""
+    titles = docs.select(F.col(key).alias("_k"), text.stripped(F.col("title")).alias("_title")).where("_title <> ''")
+    s = spans.join(titles, F.col(key) == F.col("_k")).drop("_k")
+    foreign = text.is_latin_word(F.col("term")) & ~F.contains("_title", "term")
+    s = s.where(~foreign & ~F.col("term").isin(*NOISE_TERMS)).drop("_title").withColumn("term", text.strip_filler(F.col("term")))
+    return s.where((F.col("term") != "") & ~((F.col("type") == "Symptom") & F.col("term").isin(*NO_SYMPTOMS)) & text.plausible(F.col("term"), F.col("type"), lexicon))
+
+
+def sure_spans(kept: DataFrame, min_length: int = 2, threshold: float = 0.7) -> DataFrame:
+    """``kept`` with ``sure``: long and confident enough to make facts; the others only tell that a sentence has entities."""
+    return kept.withColumn("sure", (F.length("term") >= min_length) & (F.col("confidence") >= threshold))
+
+
+def span_layer(spans: DataFrame, docs: DataFrame, key: str = "doc_id", min_length: int = 2, threshold: float = 0.7) -> tuple[DataFrame, DataFrame]:
+    """(facts, routed sentences) of a span model: sure spans are paired by clause, sentence or title; a sentence with
+    spans that gives no fact is routed to the next layer, each different sentence of a document once."""
+    spans = sure_spans(kept_spans(spans, docs, key), min_length, threshold)
+    facts = pair_spans(spans.where("sure").drop("sure"), key, docs.select(key, "title")).where("relation IS NOT NULL")
+    signs = spans.groupBy(key, "pos").agg(F.min("sentence").alias("sentence"))
+    routed = signs.join(facts.select(key, "pos").distinct(), [key, "pos"], "left_anti")
+    return facts, routed.groupBy(key, "sentence").agg(F.min("pos").alias("pos"))
+
+
+# What shows in a sentence that it states a relation, with the relation's kinds of terms.
+TRIGGERS = {
+    "常见症状": (["(?:症状|征状|表现)(?:包括|有|为|是|主要是|常见的)?", "出现", "伴随"], [("Symptom", "症状")]),
+    "治疗": (["(?:治疗|处理)(?:包括|采用|使用|给予|可用|方法为)?", "通过.+治疗"], [("Drug", "药物"), ("Treatment", "治疗方法")]),
+    "病因": (["(?:病因|原因|因素)(?:包括|是|为)?", "(?:由|因|因为).{0,8}(?:导致|造成|引起)"], [("Cause", "疾病")]),
+    "不良反应": (["(?:不良反应|副作用)(?:包括|有|为)?", "可引起"], [("Symptom", "症状")]),
+    "检查方法": (["(?:检查|诊断)(?:包括|基于|采用|可通过|通常基于)?", "检测", "测定"], [("Examination", "检查方法")]),
+}
+
+
+def ordered_terms(terms: Column) -> Column:
+    """Different terms, the longest first, then by code point."""
+    keyed = F.transform(F.array_distinct(terms), lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t")))
+    return F.transform(F.array_sort(keyed), lambda x: x["t"])
+
+
+def trigger_facts(docs: DataFrame, terms: list[tuple[str, str]], key: str = "doc_id") -> DataFrame:
+    """``key, document_id, pos, subject, relation, object, object_type, source_text``: the title with every term of a
+    relation's kinds in the sentences that hold one of its triggers.
+
+    Needs title, content, document_id and a category. Of equal facts of all documents the first in the order of
+    document, sentence, relation and term (longest first) is kept; a fact is never about itself.
+    """
+    whole = (text.squeeze(F.col("title")) != "") & (text.squeeze(F.col("document_id")) != "") & F.coalesce(F.regexp_like("category_ids", F.lit("[\\p{L}\\p{N}]")), F.lit(False))
+    d = docs.where(whole).select(key, "document_id", text.squeeze(F.col("title")).alias("title"), F.posexplode(text.plain_sentences(text.squeeze(F.col("content")))).alias("pos", "sentence"))
+    hits = contained_terms(d.select(key, "pos", "sentence"), terms, key)
+    made = []
+    for rank, (relation, (patterns, kinds)) in enumerate(TRIGGERS.items()):
+        for k, (kind, label) in enumerate(kinds):
+            shown = (F.col("type") == kind) & F.col("sentence").rlike("(?i)" + "|".join(patterns))
+            made.append(F.when(shown, F.struct(F.lit(rank).alias("rank"), F.lit(k).alias("k"), F.lit(relation).alias("relation"), F.lit(label).alias("object_type"))))
+    f = hits.withColumn("f", F.explode(F.array_compact(F.array(*made)))).join(d.select(key, "document_id", "title").distinct(), key)
+    f = f.where("term <> title").select(key, "document_id", "pos", F.col("title").alias("subject"), "f.relation", F.col("term").alias("object"), "f.object_type", F.col("sentence").alias("source_text"), F.struct(F.col(key), F.col("pos"), F.col("f.rank"), F.col("f.k"), (-F.length("term")).alias("n"), F.col("term").alias("t")).alias("_at"))
+    w = Window.partitionBy("subject", "relation", "object", "object_type").orderBy("_at")
+    return f.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r", "_at")
+
+
+def labelled(facts: DataFrame) -> DataFrame:
+    """Facts with the labels of their types and relation beside the ids."""
+    return facts.withColumns({
+        "subject_type_label": ontology.type_label(F.col("subject_type")),
+        "relation_label": ontology.relation_label(F.col("relation")),
+        "object_type_label": ontology.type_label(F.col("object_type")),
+    })
+
+
+def sentences_of(sentences: Column, content: Column) -> Column:
+    """The stored sentences of a document, or those of its content where there are none."""
+    return F.when(F.coalesce(F.size(sentences), F.lit(0)) > 0, sentences).otherwise(text.sentences(F.coalesce(content, F.lit(""))))
+
+
+def asked(sentences: DataFrame, ask, key: str = "doc_id", attempts: int = 3) -> DataFrame:
+    """``key, answer, calls``: answers of a pluggable model, a function from (prompt, last fault or None) to text.
+
+    An answer that holds no JSON list is asked for again with its fault, up to ``attempts`` times; then it is an empty
+    list. Calls are counted in the result, so a lost executor's repeats count for what they are.
+    """
+    kind = dict(sentences.dtypes)[key]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import json
+
+        for b in batches:
+            out = []
+            for k, prompt in zip(b[key], b["prompt"], strict=True):
+                fault, answer, calls = None, "[]", 0
+                while calls < attempts:
+                    calls += 1
+                    said = ask(prompt, fault)
+                    found = re.search(r"\[.*\]", said or "", re.S)
+                    try:
+                        if found and isinstance(json.loads(found[0]), list):
+                            answer = found[0]
+                            break
+                        fault = "no JSON list"
+                    except ValueError as e:
+                        fault = str(e)
+                out.append((k, answer, calls))
+            yield pd.DataFrame(out, columns=[key, "answer", "calls"])
+
+    return sentences.select(key, "prompt").mapInPandas(run, f"{key} {kind}, answer string, calls int")

@@ -30,7 +30,7 @@ def read_json_lines(spark: SparkSession, path: str, schema: str, strict: bool =
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     """Category CSV with a header, which may begin with a byte order mark."""
-    return spark.read.option("header", True).option("encoding", "UTF-8").option("enforceSchema", False).schema(CATALOG).csv(path)
+    return spark.read.option("header", True).option("escape", "\"").option("encoding", "UTF-8").option("enforceSchema", False).schema(CATALOG).csv(path)
 
 
 def read_any_encoding(spark: SparkSession, path: str) -> DataFrame:

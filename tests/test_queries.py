@@ -4,9 +4,9 @@ import pytest
 
 from compare import connection, of_df, of_sql
 from quillgraph.operators import value_queries
-from quillgraph.plans import acceptance_queries, document_queries, fact_queries, graph_queries
+from quillgraph.plans import acceptance_queries, acquisition_queries, document_queries, fact_queries, graph_queries
 
-PLANS = (fact_queries, graph_queries, document_queries, acceptance_queries)
+PLANS = (fact_queries, graph_queries, document_queries, acceptance_queries, acquisition_queries)
 QUERIES = {n: f for m in PLANS for n, f in m.Q.items()}
 SQL = {n: t for m in PLANS for n, t in m.SQL.items()}
 
