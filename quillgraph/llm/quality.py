@@ -194,50 +194,64 @@ def _choice(words: list[str]) -> str:
     return f"(?=[{''.join(map(quoted, by_first))}])(?:{'|'.join(branches)})"
 
 
-def _patterns(words: list[str]) -> tuple[str | None, str | None]:
-    """Java patterns of the common words in Han characters, which stand unspaced, and of all others; None for no words."""
-    han, other = [w for w in words if _HAN_CHAR.search(w)], [w.lower() for w in words if not _HAN_CHAR.search(w)]
-    return _choice(han) if han else None, f"(?iu){_choice(other).replace('(?:', f'(?<!{_LETTER})(?:', 1)}(?!{_LETTER})" if other else None
-
-
-def _common_count(text: Column, words: list[str]) -> Column:
-    han, other = _patterns(words)
-    n = F.length(text) - F.length(F.regexp_replace(text, han, "")) if han else F.when(text.isNotNull(), F.lit(0))
-    return n + F.regexp_count(text, F.lit(other)) if other else n
+class CommonWords:
+    """Columns about the common words of a bounded list: those in Han characters stand unspaced, single characters are
+    looked up rather than matched, and longer ones come before the characters they are made of."""
+
+    def __init__(self, words: list[str]):
+        han, other = [w for w in words if _HAN_CHAR.search(w)], [w.lower() for w in words if not _HAN_CHAR.search(w)]
+        self.single = "".join(sorted({w for w in han if len(w) == 1}))
+        self.longer = _choice(long) if (long := [w for w in han if len(w) > 1]) else None
+        self.other = f"(?iu){_choice(other).replace('(?:', f'(?<!{_LETTER})(?:', 1)}(?!{_LETTER})" if other else None
+
+    def count(self, text: Column) -> Column:
+        """Han characters in common words, and other common words."""
+        rest = F.regexp_replace(text, self.longer, "") if self.longer else text
+        n = F.length(text) - F.length(F.translate(rest, self.single, ""))
+        return n + F.regexp_count(text, F.lit(self.other)) if self.other else n
+
+    def within(self, text: Column) -> Column:
+        """Whether there is any."""
+        out = F.length(F.translate(text, self.single, "")) < F.length(text)
+        for pattern in (self.longer, self.other):
+            out = out | text.rlike(pattern) if pattern else out
+        return out
 
 
 def text_stats(docs: DataFrame, common: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, lang``, the statistics and the text of every document. ``common`` is the fixed table of common words."""
     by_lang = common_words(common)
     every = [w for words in by_lang.values() for w in words]
-    t = F.col("text")
     src = docs.select(F.col(key).alias(key), F.col("lang").cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
-    written = F.when(t.rlike(r"\S"), t)
-    packed = F.length(F.regexp_replace(written, r"\s+", "")).cast("double")
-    others = F.length(F.regexp_replace(written, r"[\p{L}\p{N}]++", "")).cast("double")
-    letters = F.length(written) - others
-    signs = F.length(written) - F.length(F.regexp_replace(written, f"[{_HAN}]++", ""))
-    n_words = (signs + F.regexp_count(written, F.lit(f"{_LETTER}++"))).cast("double")
-    found = _common_count(written, every)
+    t, w = F.col("text"), F.col("_w")
+    without = lambda pattern: F.length(F.regexp_replace(w, pattern, ""))
+    found = CommonWords(every).count(w)
     for lang, words in by_lang.items():
         if lang is not None:
-            found = F.when(F.col("lang") == lang, _common_count(written, words)).otherwise(found)
-    lines = F.regexp_extract_all(written, F.lit(r"[^\s][^\n\r]*"), F.lit(0))
-    ended = F.size(F.filter(lines, lambda s: s.rlike("[。！？!?.…．][”’」』\"')） ]*$")))
-    han, other = _patterns(every)
-    pieces = F.split(written, r"[。！？!?．\n\r]+|(?<=[a-z)])\. ")
-    common_in = lambda s: (s.rlike(han) if han else F.lit(False)) | (s.rlike(other) if other else F.lit(False))
-    bare = F.aggregate(F.filter(pieces, lambda s: ~common_in(s)), F.lit(0), lambda n, s: n + F.length(s))
-    share = lambda a, b: F.coalesce(F.try_divide(a, b), F.when(written.isNotNull(), F.lit(0.0)))
-    return src.select(
+            found = F.when(F.col("lang") == lang, CommonWords(words).count(w)).otherwise(found)
+    common_in = CommonWords(every).within
+    # counts first, so that each is made once however many ratios use it
+    counts = src.withColumn("_w", F.when(t.rlike(r"\S"), t)).withColumns({
+        "_packed": without(r"\s++").cast("double"),
+        "_letters": (F.length(w) - without(r"[\p{L}\p{N}]++")).cast("double"),
+        "n_words": (F.length(w) - without(f"[{_HAN}]++") + F.regexp_count(w, F.lit(f"{_LETTER}++"))).cast("double"),
+        "_common": found.cast("double"),
+        "_lines": F.regexp_extract_all(w, F.lit(r"[^\s][^\n\r]*+"), F.lit(0)),
+        "_pieces": F.split(w, r"[。！？!?．\n\r]++|(?<=[a-z)])\. "),
+    })
+    ended = F.size(F.filter("_lines", lambda s: s.rlike("[。！？!?.…．][”’」』\"')） ]*$")))
+    bare = F.aggregate(F.filter("_pieces", lambda s: ~common_in(s)), F.lit(0), lambda n, s: n + F.length(s))
+    whole = F.aggregate("_pieces", F.lit(0), lambda n, s: n + F.length(s))
+    share = lambda a, b: F.coalesce(F.try_divide(a, b), F.when(w.isNotNull(), F.lit(0.0)))
+    return counts.select(
         key,
         "lang",
-        n_words.alias("n_words"),
-        share(letters, n_words).alias("mean_word_len"),
-        (1 - share(letters, packed)).alias("symbol_ratio"),
-        share(ended.cast("double"), F.size(lines)).alias("punct_lines"),
-        share(found.cast("double"), n_words).alias("common_share"),
-        share(bare.cast("double"), F.length(F.array_join(pieces, ""))).alias("bare_share"),
+        "n_words",
+        share(F.col("_letters"), F.col("n_words")).alias("mean_word_len"),
+        (1 - share(F.col("_letters"), F.col("_packed"))).alias("symbol_ratio"),
+        share(ended.cast("double"), F.size("_lines")).alias("punct_lines"),
+        share(F.col("_common"), F.col("n_words")).alias("common_share"),
+        share(bare.cast("double"), whole).alias("bare_share"),
         "text",
     )
 
