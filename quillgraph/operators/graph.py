@@ -149,13 +149,18 @@ def bipartite(g: Graph, diseases: int = 110, symptoms: int = 70, most_edges: int
 
 
 def similar_pairs(g: Graph, least: int = 2) -> DataFrame:
-    """Pairs of diseases that share symptoms: ``source, target, shared``.
+    """Pairs of diseases that share ``least`` symptoms or more: ``source, target, shared``.
 
-    The join is by symptom with source < target; a symptom of very many diseases is split by adaptive execution.
+    Two diseases that share so many share one that is not among the ``least - 1`` commonest of either, so these don't
+    join: a symptom that most diseases have brings forth no pairs by itself. The pairs found are counted exactly.
     """
-    e = symptom_edges(g).select("source", "target").distinct()
-    a, b = e.select("target", F.col("source").alias("a")), e.select("target", F.col("source").alias("b"))
-    pairs = a.join(b, "target").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    e = materialize(symptom_edges(g).select("source", "target").distinct(), "symptom-edges")
+    ranked = e.join(e.groupBy("target").agg(F.count("*").alias("n")), "target")
+    w = Window.partitionBy("source").orderBy(F.desc("n"), F.desc("target"))
+    rare = ranked.withColumn("_r", F.row_number().over(w)).where(F.col("_r") >= least).select("source", "target")
+    side = lambda df, name: df.select("target", F.col("source").alias(name))
+    found = side(rare, "a").join(side(rare, "b"), "target").where("a < b").select("a", "b").distinct()
+    pairs = found.join(side(e, "a"), "a").join(side(e, "b"), ["b", "target"]).groupBy("a", "b").agg(F.count("*").alias("shared"))
     return pairs.where(F.col("shared") >= least).select(F.col("a").alias("source"), F.col("b").alias("target"), "shared")
 
 

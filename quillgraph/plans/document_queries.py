@@ -155,9 +155,9 @@ def disease_titles(spark, d):
     return _d(spark, d).where(text.is_disease_title(F.col("title"))).select("doc_id", "title")
 
 
-@query("SELECT DISTINCT object FROM triples WHERE NOT regexp_matches(object, '[\\x{4e00}-\\x{9fff}]') AND regexp_matches(object, '\\p{L}')")
+@query("SELECT DISTINCT title FROM documents WHERE NOT regexp_matches(title, '[\\x{4e00}-\\x{9fff}]') AND regexp_matches(title, '\\p{L}')")
 def latin_names(spark, d):
-    return table(spark, d, "triples").where(text.is_latin_word(F.col("object"))).select("object").distinct()
+    return _d(spark, d).where(text.is_latin_word(F.col("title"))).select("title").distinct()
 
 
 @query("SELECT DISTINCT object, object_type, CASE object_type " + " ".join(f"WHEN '{k}' THEN coalesce({sql.ends('object', v)}, false)" for k, v in text.TYPE_ENDS.items()) + " ELSE true END AS plausible FROM triples")
@@ -181,7 +181,12 @@ def evidence_contained(spark, d):
     return t.select("id", (F.contains(drop("content"), drop("source_text")) & (drop("source_text") != "")).alias("found"))
 
 
-@query()
+_DROP = "translate(coalesce({0}, ''), '" + text.IGNORED_IN_EVIDENCE.replace("'", "''") + "', '')"
+
+
+@query(f"""WITH {FIRST}, x AS (SELECT t.id, {_DROP.format('t.source_text')} AS ev, {_DROP.format('d.content')} AS ct FROM triples t JOIN docs1 d ON d.document_id = t.source_document_id),
+  y AS (SELECT *, list_distinct(list_transform(range(1, greatest(length(ev) - 1, 1) + 1), lambda i: substring(ev, i, 2))) AS own FROM x)
+  SELECT id, CASE WHEN ev = '' THEN false ELSE contains(ct, ev) OR 2 * len(list_filter(own, lambda g: contains(ct, g))) >= len(own) END AS supported FROM y""")
 def evidence_supported(spark, d):
     docs = first_rows(spark, d).select(F.col("document_id").alias("k"), "content")
     t = table(spark, d, "triples").join(docs, F.col("source_document_id") == F.col("k"))
@@ -313,7 +318,8 @@ def term_contains(spark, d):
     return extract.contained_terms(s, terms).select("doc_id", "term")
 
 
-@query()
+@query(f"""WITH p AS (SELECT DISTINCT {_PART} AS part FROM clc_r_categories), c AS (SELECT doc_id, {_CLEAN.replace("coalesce(text,'')", "coalesce(content,'')")} AS cleaned FROM documents), l AS (SELECT doc_id, {_SENT} AS s FROM c),
+  u AS (SELECT doc_id, generate_subscripts(s, 1) - 1 AS pos, unnest(s) AS sentence FROM l) SELECT doc_id, min(pos)::INT AS pos, part AS term FROM u JOIN p ON contains(sentence, part) GROUP BY doc_id, part""")
 def first_sentences(spark, d):
     parts = table(spark, d, "clc_r_categories").select(F.regexp_replace("clc_name", "(保健|病学|康复|药理|检验)$", "").alias("p")).distinct()
     terms = [(r.p, "Part") for r in parts.collect()]
