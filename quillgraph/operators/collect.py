@@ -69,6 +69,42 @@ def catalog(raw: DataFrame) -> DataFrame:
     return c.withColumn("faults", F.array_join(faults, ","))
 
 
+def checked_catalog(raw: DataFrame, enabled_only: bool = True) -> DataFrame:
+    """The typed categories, if none has a fault and ids and codes are unique; else an error that names the first ones."""
+    c = catalog(raw)
+    bad = c.where("faults <> ''").select(F.concat_ws(": ", "category_id", "faults").alias("x"))
+    for field in ("category_id", "clc_code"):
+        bad = bad.unionByName(c.groupBy(field).agg(F.count("*").alias("n")).where("n > 1").select(F.concat(F.lit(f"repeated {field}: "), field).alias("x")))
+    first = [r.x for r in bad.limit(5).collect()]
+    if first:
+        raise ValueError("; ".join(first))
+    out = c.where("enabled") if enabled_only else c
+    if out.isEmpty():
+        raise ValueError("no category")
+    return out
+
+
+def select_categories(categories: DataFrame, selectors: list[str]) -> DataFrame:
+    """Categories named by id or by code (in any case), in the order of the selectors, each once; no selector selects all.
+
+    A selector that names none is an error. Selectors are a caller's short list.
+    """
+    wanted = [x.strip() for x in selectors if x.strip()]
+    if not wanted:
+        return categories
+    spark = categories.sparkSession
+    s = spark.createDataFrame(list(enumerate(wanted)), "at int, name string")
+    by_id = s.join(categories, F.col("name") == F.col("category_id"))
+    left = s.join(by_id.select("at"), "at", "left_anti")
+    by_code = left.join(categories, F.upper("name") == F.col("clc_code"))
+    found = by_id.unionByName(by_code)
+    missing = [r.name for r in s.join(found.select("at").distinct(), "at", "left_anti").orderBy("at").collect()]
+    if missing:
+        raise ValueError(f"unknown categories: {', '.join(missing)}")
+    firsts = found.groupBy("category_id").agg(F.min("at").alias("at"))
+    return categories.join(firsts, "category_id").orderBy("at", "category_id").select(categories.columns)
+
+
 def catalog_terms(raw: DataFrame) -> DataFrame:
     """``category_id, pos, term`` of enabled and reviewed categories, terms divided by plain bars."""
     on = raw.where((F.lower(F.trim("enabled")) == "true") & (F.lower(F.trim("reviewed")) == "true"))

@@ -59,5 +59,12 @@ def discard(*written: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def finished(df: DataFrame, tag: str, *used: DataFrame) -> DataFrame:
+    """Write a result and delete the working tables it was made of."""
+    out = materialize(df, tag)
+    discard(*used)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -23,6 +23,15 @@ def read_json_array(spark: SparkSession, path: str, schema: str = TRIPLES) -> Da
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
+def read_review_list(spark: SparkSession, path: str, verdict: str = "reject") -> DataFrame:
+    """The different keys (id, subject, relation, object, source_document_id) of a review list's facts with the verdict;
+    entries without id, subject or object are left out."""
+    schema = "id long, subject string, relation string, object string, source_document_id string, review string"
+    rows = read_json_array(spark, path, schema).where(F.col("review") == verdict)
+    rows = rows.where("id IS NOT NULL AND coalesce(subject, '') <> '' AND coalesce(object, '') <> ''")
+    return rows.select("id", "subject", "relation", "object", "source_document_id").distinct()
+
+
 def read_json_lines(spark: SparkSession, path: str, schema: str, strict: bool = False) -> DataFrame:
     """Objects of lines; blank lines are skipped. ``strict``: a line that is no object is an error."""
     return spark.read.schema(schema).option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(path)

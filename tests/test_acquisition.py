@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quillgraph.operators import acquire, extract, publication
+from quillgraph.operators import acquire, collect, extract, publication, rules
 from quillgraph.sources import text_files
 
 
@@ -123,3 +123,30 @@ def test_asked(spark):
 
     df = spark.createDataFrame([(1, "good"), (2, "retry"), (3, "never")], "doc_id long, prompt string")
     assert [(r.answer, r.calls) for r in extract.asked(df, ask).orderBy("doc_id").collect()] == [("[1]", 1), ('["second"]', 2), ("[]", 3)]
+
+
+CATALOG = [("c1", "R5", "甲", None, "x", 5, "true", "a", "yes"), ("c2", "[r6]", "乙", None, "y", 5, "0", "a", "no")]
+
+
+def test_catalog_is_checked(spark):
+    df = lambda rows: spark.createDataFrame(rows, text_files.CATALOG)
+    assert [r.category_id for r in collect.checked_catalog(df(CATALOG)).collect()] == ["c1"]
+    assert collect.checked_catalog(df(CATALOG), False).count() == 2
+    for rows in (CATALOG + [CATALOG[0]], [("c3", "Q1", *CATALOG[0][2:])], [CATALOG[1]], [("c4", "R9", "x", None, "t", 5, "maybe", "a", "yes")]):
+        with pytest.raises(ValueError):
+            collect.checked_catalog(df(rows))
+    every = collect.checked_catalog(df(CATALOG), False)
+    assert [r.category_id for r in collect.select_categories(every, ["r6", "c1", "R6"]).collect()] == ["c2", "c1"]
+    assert collect.select_categories(every, [" "]).count() == 2
+    with pytest.raises(ValueError):
+        collect.select_categories(every, ["c1", "c9"])
+
+
+def test_review_list(spark, tmp_path):
+    (tmp_path / "r.json").write_text('[{"id": 1, "subject": "a", "relation": "r", "object": "b", "review": "reject"}, {"id": 1, "subject": "a", "relation": "r", "object": "b", "review": "reject"}, {"id": 2, "subject": "a", "relation": "r", "object": "b", "review": "keep"}, {"id": 3, "subject": "", "relation": "r", "object": "b", "review": "reject"}]', encoding="utf-8")
+    rejects = text_files.read_review_list(spark, str(tmp_path / "r.json"))
+    assert [(r.id, r.source_document_id) for r in rejects.collect()] == [(1, None)]
+    facts = spark.createDataFrame([(1, "a", "T", "r", "b", "T", None, None, 0.9), (2, "a", "T", "r", "b", "T", None, None, 0.9)], "id long, subject string, subject_type string, relation string, object string, object_type string, source_document_id string, source_text string, confidence double")
+    titles = spark.createDataFrame([], "document_id string, title string")
+    flagged = rules.broken_rules(facts, titles, rejects)
+    assert {r.id: list(r.broken) for r in flagged.collect()} == {1: ["review"], 2: []}
