@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import materialize
+from ..runtime import finished, materialize
 
 # Cyrillic and Greek letters and the Latin letters they look like. Lower-case Greek letters that names
 # and units use (alpha, beta, kappa, mu and the like) are none.
@@ -257,4 +257,4 @@ def canonicalize(values: DataFrame, buckets: int | None = None) -> DataFrame:
     plain = dirty.where(F.size("tokens") == 0).select("table_name", "row_key", "field_name", "value", none.alias("spellings"))
     mixed = dirty.where(F.size("tokens") > 0).drop("tokens").join(per_value, ["table_name", "row_key", "field_name"], "left")
     out = plain.unionByName(mixed.select("table_name", "row_key", "field_name", "value", "spellings")).mapInArrow(_rebuild, base + ", canonical string")
-    return out.where("canonical <> value")
+    return finished(out.where("canonical <> value"), "canonical-values", dirty)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import materialize
+from ..runtime import discard, finished, materialize
 from .canonical import letters_and_digits
 
 FIELDS = ("subject", "subject_type", "relation", "object", "object_type")
@@ -84,34 +84,36 @@ def _linked(keys: DataFrame, max_rounds: int) -> DataFrame:
         step = edges.join(by_direct, "direct")
         by_pair = step.groupBy("pair").agg(F.min("d").alias("p"))
         step = materialize(step.join(by_pair, "pair").select("direct", "pair", F.col("p").alias("lab"), "d", (F.col("p") < F.col("lab")).alias("moved")), "fact-labels")
-        if step.where("moved").isEmpty():
-            break
+        discard(edges)
+        done = step.where("moved").isEmpty()
         edges = step.select("direct", "pair", "lab")
-    else:
-        raise RuntimeError("chains of exchanged facts did not settle")
-    return edges.groupBy("direct").agg(F.min("lab").alias("linked"))
+        edges.written_path = step.written_path
+        if done:
+            return finished(edges.groupBy("direct").agg(F.min("lab").alias("linked")), "linked-facts", edges)
+    raise RuntimeError("chains of exchanged facts did not settle")
 
 
-def fact_groups(triples: DataFrame, max_rounds: int = 50) -> tuple[DataFrame, DataFrame]:
-    """(keys of every row, ``direct, first_id, n_copies`` of every direct key)."""
+def fact_groups(triples: DataFrame, max_rounds: int = 50) -> tuple[DataFrame, DataFrame, tuple[DataFrame, ...]]:
+    """(keys of every row, ``direct, first_id, n_copies`` of every direct key, the working tables of both)."""
     keys = materialize(fact_keys(triples), "fact-keys")
     direct = keys.groupBy("direct").agg(F.min("id").alias("own"), F.count("*").alias("n_copies"), F.min("direct_check").alias("lo"), F.max("direct_check").alias("hi"))
     direct = direct.where(_checked(F.col("lo"), F.col("hi"), "direct"))
-    groups = direct.join(_linked(keys, max_rounds), "direct", "left").select("direct", F.least("own", F.coalesce("linked", "own")).alias("first_id"), "n_copies", (F.col("linked") < F.col("own")).alias("joined"))
-    return keys, groups
+    linked = _linked(keys, max_rounds)
+    groups = direct.join(linked, "direct", "left").select("direct", F.least("own", F.coalesce("linked", "own")).alias("first_id"), "n_copies", (F.col("linked") < F.col("own")).alias("joined"))
+    return keys, groups, (keys, linked)
 
 
 def duplicate_facts(triples: DataFrame) -> DataFrame:
     """``first_id, id`` of each triple that repeats an earlier one."""
-    keys, groups = fact_groups(triples)
+    keys, groups, used = fact_groups(triples)
     # keys with one row that join no other need not meet the rows again
     groups = groups.where((F.col("n_copies") > 1) | F.coalesce("joined", F.lit(False))).select("direct", "first_id")
-    return keys.select("id", "direct").join(groups, "direct").where("id <> first_id").select("first_id", "id")
+    return finished(keys.select("id", "direct").join(groups, "direct").where("id <> first_id").select("first_id", "id"), "repeated-facts", *used)
 
 
 def unique_facts(triples: DataFrame) -> DataFrame:
     """One triple per fact (that of the smallest id) with its number of copies."""
-    _, groups = fact_groups(triples)
-    counts = groups.groupBy("first_id").agg(F.sum("n_copies").alias("n_copies"))
+    _, groups, used = fact_groups(triples)
+    counts = finished(groups.groupBy("first_id").agg(F.sum("n_copies").alias("n_copies")), "fact-copies", *used)
     firsts = triples.select(F.col("id").alias("first_id"), *FIELDS)
     return firsts.join(counts, "first_id").select(F.col("first_id").alias("id"), *FIELDS, "n_copies")

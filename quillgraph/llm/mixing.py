@@ -29,7 +29,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import materialize
+from ..runtime import finished, materialize
 from .bpe import DEFAULT_VOCABULARY, count_tokens
 
 MOST_SOURCES = 10_000
@@ -77,8 +77,8 @@ def plan(totals: dict[str, int], mix: list[tuple[str, float, int]]) -> dict[str,
     return out
 
 
-def _chosen(docs: DataFrame, mix: DataFrame, vocabulary: str, blocks: int, bucket_rows: int, seed: int) -> tuple[DataFrame, DataFrame]:
-    """The chosen documents with their places in the first pass, and the slot of each source's blocks."""
+def _chosen(docs: DataFrame, mix: DataFrame, vocabulary: str, blocks: int, bucket_rows: int, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The chosen documents with their places in the first pass, the slot of each source's blocks, and the working table."""
     spark = docs.sparkSession
     rows = mix.select("source", F.col("target_share").cast("double"), F.col("max_repeats").cast("int")).where("source IS NOT NULL").limit(MOST_SOURCES + 1).collect()
     if len(rows) > MOST_SOURCES:
@@ -105,7 +105,7 @@ def _chosen(docs: DataFrame, mix: DataFrame, vocabulary: str, blocks: int, bucke
     start = F.col("before") + F.col("within")
     d = d.withColumn("start", start).withColumn("repeats", (F.col("passes") + F.when(F.col("start") + F.col("n_tokens") / 2 <= F.col("rest"), 1).otherwise(0)).cast("int"))
     ends = spark.createDataFrame([(s, n - 1) for s, n in counts.items()], "source string, last long")
-    return d.where("repeats > 0").join(F.broadcast(ends), "source"), slots
+    return d.where("repeats > 0").join(F.broadcast(ends), "source"), slots, sizes
 
 
 def _in_slots(uses: DataFrame, slots: DataFrame) -> DataFrame:
@@ -116,8 +116,9 @@ def _in_slots(uses: DataFrame, slots: DataFrame) -> DataFrame:
 
 def mixed(docs: DataFrame, mix: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, blocks: int = 8192, bucket_rows: int = 50_000, seed: int = 7) -> DataFrame:
     """``doc_id, source, n_tokens, repeats, first_slot`` of the chosen documents."""
-    d, slots = _chosen(docs, mix, vocabulary, blocks, bucket_rows, seed)
-    return _in_slots(d.withColumn("place", F.col("start")), slots).select("doc_id", "source", "n_tokens", "repeats", F.col("slot").alias("first_slot"))
+    d, slots, sizes = _chosen(docs, mix, vocabulary, blocks, bucket_rows, seed)
+    chosen = _in_slots(d.withColumn("place", F.col("start")), slots).select("doc_id", "source", "n_tokens", "repeats", F.col("slot").alias("first_slot"))
+    return finished(chosen, "mix", sizes)
 
 
 def scheduled(docs: DataFrame, mix: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, blocks: int = 8192, bucket_rows: int = 50_000, seed: int = 7) -> DataFrame:
@@ -125,9 +126,9 @@ def scheduled(docs: DataFrame, mix: DataFrame, vocabulary: str = DEFAULT_VOCABUL
 
     Use ``k`` lies ``k - 1`` whole passes over its source behind the first.
     """
-    d, slots = _chosen(docs, mix, vocabulary, blocks, bucket_rows, seed)
+    d, slots, sizes = _chosen(docs, mix, vocabulary, blocks, bucket_rows, seed)
     uses = d.withColumn("use", F.explode(F.sequence(F.lit(1), F.col("repeats")))).withColumn("place", F.col("start") + (F.col("use") - 1) * F.col("tokens"))
-    return _in_slots(uses, slots).select("doc_id", "source", "n_tokens", "use", "slot")
+    return finished(_in_slots(uses, slots).select("doc_id", "source", "n_tokens", "use", "slot"), "schedule", sizes)
 
 
 def shares(chosen: DataFrame, mix: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from ..runtime import materialize
+from ..runtime import finished, materialize
 
 # What may stand after a cut. All patterns take time in proportion to the text.
 CUT_MARKS = r"(?:\s?(?:(?<!…)…++|(?<!。)。{2,}+|(?<!\.)\.{2,}+|(?<!\x{FFFD})\x{FFFD}++|[\[【][^\[\]【】。.！!？?]++[\]】]|(?<!&)&#?\w{0,8}+;?|(?<!<)<\/?\w{0,8}+\/?>?)){1,8}+\s?$"
@@ -118,7 +118,7 @@ def truncated(docs: DataFrame, value: str = "content", weight: int = 100, max_te
         texts=texts,
     )
     known = materialize(final_grams(counts, ended), "final-grams")
-    return spark.sql(
+    judged = spark.sql(
         f"""
         WITH tri AS (SELECT w1, w2, w3, n, ends FROM {{known}}),
         bi AS (SELECT w2, w3, sum(n) AS n, sum(ends) AS ends FROM tri GROUP BY w2, w3),
@@ -146,6 +146,7 @@ def truncated(docs: DataFrame, value: str = "content", weight: int = 100, max_te
         ended=ended,
         known=known,
     )
+    return finished(judged, "judged-texts", texts, counts, known)
 
 
 def truncation_report(docs: DataFrame, value: str = "content") -> DataFrame:
