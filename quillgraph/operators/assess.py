@@ -41,10 +41,12 @@ def type_conflicts(triples: DataFrame, pos: str = "id") -> DataFrame:
 
 def support(triples: DataFrame) -> DataFrame:
     """Per (subject, relation, object): distinct documents and distinct (document, text) pieces of evidence."""
-    t = _named(triples)
+    key = ["subject", "relation", "object"]
+    t = _named(triples).select(*(F.col("_" + k).alias(k) for k in key), "_source_document_id", "_source_text")
+    # equal pieces fall together first, so that one distinct count is left
+    t = t.groupBy(*key, "_source_document_id", "_source_text").agg(F.lit(1).alias("_"))
     docs = F.count_distinct(F.when(F.col("_source_document_id") != "", F.col("_source_document_id")))
-    pieces = F.count_distinct(F.when(F.col("_source_text") != "", F.struct("_source_document_id", "_source_text")))
-    return t.groupBy(F.col("_subject").alias("subject"), F.col("_relation").alias("relation"), F.col("_object").alias("object")).agg(docs.alias("support_document_count"), pieces.alias("support_evidence_count"))
+    return t.groupBy(*key).agg(docs.alias("support_document_count"), F.count_if(F.col("_source_text") != "").alias("support_evidence_count"))
 
 
 def assess(triples: DataFrame, base: str | None = None) -> DataFrame:

@@ -76,9 +76,10 @@ def split_sentences(spark, d):
 _TOK = r"'[\x{4e00}-\x{9fff}]+|[a-zA-Z0-9]+(?:[-.][a-zA-Z0-9]+)*|[^\s\x{4e00}-\x{9fff}a-zA-Z0-9]'"
 
 
-@query(f"SELECT doc_id, len(regexp_extract_all(cleaned, {_TOK})) AS n FROM (SELECT doc_id, {_CLEAN} AS cleaned FROM documents)")
+@query(f"SELECT doc_id, len(regexp_extract_all(cleaned, {_TOK})) AS n, array_to_string(regexp_extract_all(cleaned, {_TOK}), ' ') AS tokens FROM (SELECT doc_id, {_CLEAN} AS cleaned FROM documents)")
 def tokenize(spark, d):
-    return _d(spark, d).select("doc_id", F.size(text.tokens(text.blank_markup(F.col("text")))).cast("long").alias("n"))
+    t = text.tokens(text.blank_markup(F.col("text")))
+    return _d(spark, d).select("doc_id", F.size(t).cast("long").alias("n"), F.array_join(t, " ").alias("tokens"))
 
 
 _FIELDS = f"""f AS (SELECT doc_id, coalesce(title,'') AS title, length(cleaned) AS content_length, len({_SENT}) AS sentence_count,
@@ -150,6 +151,20 @@ def purge_triples(spark, d):
     return rules.purge(table(spark, d, "triples"), rules.off_topic(_d(spark, d), "转载|综述|问答"), ("source_document_id",)).select("id")
 
 
+_OFF = "(SELECT document_id FROM documents WHERE document_id IS NOT NULL AND regexp_matches(coalesce(title,''), '转载|综述|问答'))"
+
+
+@query(f"SELECT 'documents' AS tab, count(*) AS kept FROM documents WHERE document_id IS NULL OR document_id NOT IN {_OFF} UNION ALL SELECT 'extract_state', count(*) FROM extract_state WHERE document_id NOT IN {_OFF} UNION ALL SELECT 'triple_evidence', count(*) FROM triple_evidence WHERE source_document_id IS NULL OR source_document_id NOT IN {_OFF} UNION ALL SELECT 'triples', count(*) FROM triples WHERE source_document_id IS NULL OR source_document_id NOT IN {_OFF}")
+def purge_tables(spark, d):
+    """All four tables without the off-topic documents and what hangs on them."""
+    off = rules.off_topic(_d(spark, d), "转载|综述|问答")
+    out = None
+    for name, key in (("documents", "document_id"), ("extract_state", "document_id"), ("triple_evidence", "source_document_id"), ("triples", "source_document_id")):
+        one = rules.purge(table(spark, d, name), off, (key,)).agg(F.count("*").alias("kept")).select(F.lit(name).alias("tab"), "kept")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query(f"SELECT doc_id, title FROM documents WHERE length({sql.s('title')}) BETWEEN 2 AND 20 AND {sql.ends(sql.s('title'), text.DISEASE_ENDS)}")
 def disease_titles(spark, d):
     return _d(spark, d).where(text.is_disease_title(F.col("title"))).select("doc_id", "title")
@@ -165,6 +180,14 @@ def plausible_entities(spark, d):
     return table(spark, d, "triples").select("object", "object_type", text.plausible(F.col("object"), F.col("object_type")).alias("plausible")).distinct()
 
 
+_KNOWN = {"Drug": ["Dawito 片", "Zévuvo 滴剂"], "Treatment": ["胥糜边式皮层松解术"], "Examination": []}
+
+
+@query("SELECT DISTINCT object, object_type, CASE object_type " + " ".join(f"WHEN '{k}' THEN coalesce({sql.ends('object', v)}{' OR object IN ' + sql.names(_KNOWN[k]) if _KNOWN[k] else ''}, false)" for k, v in text.TYPE_ENDS.items()) + " ELSE true END AS plausible FROM triples")
+def plausible_by_lexicon(spark, d):
+    return table(spark, d, "triples").select("object", "object_type", text.plausible(F.col("object"), F.col("object_type"), _KNOWN).alias("plausible")).distinct()
+
+
 @query(f"SELECT DISTINCT object, CASE WHEN trim(object, {sql.WS}) = '' OR regexp_matches(trim(object, {sql.WS}), '[{text.TEMPLATE_NOISE}]') THEN NULL ELSE trim(object, {sql.WS}) END AS term FROM triples")
 def template_noise(spark, d):
     return table(spark, d, "triples").select("object", text.template_term(F.col("object")).alias("term")).distinct()
@@ -302,6 +325,15 @@ def run_metrics(spark, d):
     return table(spark, d, "records").groupBy("run_id").agg(F.count("*").alias("seen"), F.count_distinct("document_id").alias("documents"), F.count_if(F.col("updated_at").isNull()).alias("never_updated"))
 
 
+@query("""WITH c AS (SELECT run_id, unnest(json_extract_string(canonical_json, '$.classifications[*].category_id')) AS cat, unnest(json_extract_string(canonical_json, '$.classifications[*].verified')) AS v, document_id FROM records)
+  SELECT run_id, count(DISTINCT cat) AS categories, count(*) FILTER (WHERE v = 'true') AS verified, count(*) FILTER (WHERE v IS DISTINCT FROM 'true') AS unverified FROM c GROUP BY run_id""")
+def run_assignments(spark, d):
+    """Per run its categories, and its verified and unverified assignments."""
+    c = collect.parsed(table(spark, d, "records")).select("run_id", F.explode("doc.classifications").alias("c"))
+    ok = F.coalesce(F.col("c.verified"), F.lit(False))
+    return c.groupBy("run_id").agg(F.count_distinct("c.category_id").alias("categories"), F.count_if(ok).alias("verified"), F.count_if(~ok).alias("unverified"))
+
+
 @query()
 def identity_keys(spark, d):
     return collect.identity_keys(table(spark, d, "records")).select("run_id", "document_id", F.array_join("keys", " ").alias("keys"))
@@ -409,11 +441,16 @@ def page_slice(spark, d):
     return _d(spark, d).orderBy("doc_id").offset(40).limit(40).select("doc_id", "title")
 
 
-@query("""WITH c AS (SELECT jid, cat, source_name, score, row_number() OVER () AS rn, run_id FROM (SELECT json_extract_string(canonical_json, '$.document_id') AS jid, unnest(json_extract_string(canonical_json, '$.classifications[*].category_id')) AS cat, source_name, CAST(json_extract_string(canonical_json, '$.quality.score') AS DOUBLE) AS score, run_id FROM records))
-  SELECT jid AS document_id, cat AS category_id, bool_or(score >= 0.9) AS verified, max(coalesce(score, 0)) AS confidence FROM c GROUP BY jid, cat""")
+@query("""WITH c AS (SELECT json_extract_string(canonical_json, '$.document_id') AS jid, unnest(json_extract_string(canonical_json, '$.classifications[*].category_id')) AS cat, source_name || '/' || run_id AS basis, CAST(json_extract_string(canonical_json, '$.quality.score') AS DOUBLE) AS score, epoch_us(created_at) AS pos, run_id AS code FROM records),
+  k AS (SELECT jid, cat, code, min(pos) AS first FROM c GROUP BY ALL), kk AS (SELECT jid, cat, string_agg(code, '|' ORDER BY first, code) AS codes FROM k GROUP BY ALL)
+  SELECT c.jid AS document_id, c.cat AS category_id, arg_max(basis, (coalesce(score >= 0.9, false), coalesce(score, 0), -pos)) AS basis, bool_or(coalesce(score >= 0.9, false)) AS verified, max(coalesce(score, 0)) AS confidence, any_value(codes) AS codes FROM c JOIN kk ON kk.jid = c.jid AND kk.cat = c.cat GROUP BY c.jid, c.cat""")
 def merge_classifications(spark, d):
-    r = collect.parsed(table(spark, d, "records")).select(F.col("doc.document_id").alias("document_id"), F.explode("doc.classifications.category_id").alias("category_id"), F.coalesce(F.col("doc.quality.score") >= 0.9, F.lit(False)).alias("verified"), F.col("doc.quality.score").alias("confidence"), F.col("source_name").alias("basis"), F.col("run_id").alias("code"), F.xxhash64("run_id", "document_id").alias("pos"))
-    return dedupe.merge_classifications(r).select("document_id", "category_id", "verified", "confidence")
+    """Classes of a document's records in the order of their arrival."""
+    r = collect.parsed(table(spark, d, "records")).select(
+        F.col("doc.document_id").alias("document_id"), F.explode("doc.classifications.category_id").alias("category_id"), F.coalesce(F.col("doc.quality.score") >= 0.9, F.lit(False)).alias("verified"),
+        F.col("doc.quality.score").alias("confidence"), F.concat_ws("/", "source_name", "run_id").alias("basis"), F.col("run_id").alias("code"), F.unix_micros(F.col("created_at").cast("timestamp")).alias("pos"),
+    )
+    return dedupe.merge_classifications(r.where("document_id IS NOT NULL AND category_id IS NOT NULL"))
 
 
 @query("SELECT DISTINCT json_extract_string(canonical_json, '$.document_id') AS document_id, content_hash, run_id, source_record_id FROM records")
@@ -519,14 +556,18 @@ def row_fingerprints(spark, d):
     return c.select("category_id", ids.fingerprint({k: F.col(k) for k in ("clc_name", "category_id", "clc_code")}).alias("fingerprint"))
 
 
-@query(f"SELECT doc_id, len(list_filter(list_transform(regexp_split_to_array(coalesce(title,''), '[{text.CLAUSE_MARKS}]'), lambda x: trim(x, {sql.WS})), lambda x: x <> '')) AS n FROM documents")
+@query(f"""SELECT doc_id, len(list_filter(list_transform(regexp_split_to_array(coalesce(title,''), '[{text.CLAUSE_MARKS}]'), lambda x: trim(x, {sql.WS})), lambda x: x <> '')) AS n,
+  array_to_string(list_filter(list_transform(regexp_split_to_array(coalesce(title,''), '[{text.CLAUSE_MARKS}]'), lambda x: trim(x, {sql.WS})), lambda x: x <> ''), '|') AS clauses FROM documents""")
 def split_clauses(spark, d):
-    return _d(spark, d).select("doc_id", F.size(text.clauses(F.coalesce("title", F.lit("")))).cast("long").alias("n"))
+    c = text.clauses(F.coalesce("title", F.lit("")))
+    return _d(spark, d).select("doc_id", F.size(c).cast("long").alias("n"), F.array_join(F.transform(c, lambda x: x["text"]), "|").alias("clauses"))
 
 
-@query("SELECT doc_id, CASE WHEN length(coalesce(title,'')) = 0 THEN 0 ELSE len(list_distinct(list_transform(range(1, greatest(length(title) - 1, 1) + 1), lambda i: substring(title, i, 2)))) END AS n FROM documents")
+@query("""SELECT doc_id, CASE WHEN length(coalesce(title,'')) = 0 THEN 0 ELSE len(list_distinct(list_transform(range(1, greatest(length(title) - 1, 1) + 1), lambda i: substring(title, i, 2)))) END AS n,
+  CASE WHEN length(coalesce(title,'')) = 0 THEN '' ELSE array_to_string(list_sort(list_distinct(list_transform(range(1, greatest(length(title) - 1, 1) + 1), lambda i: substring(title, i, 2)))), '|') END AS pairs FROM documents""")
 def title_bigrams(spark, d):
-    return _d(spark, d).select("doc_id", F.size(text.bigrams(F.coalesce("title", F.lit("")))).cast("long").alias("n"))
+    b = text.bigrams(F.coalesce("title", F.lit("")))
+    return _d(spark, d).select("doc_id", F.size(b).cast("long").alias("n"), F.array_join(F.array_sort(b), "|").alias("pairs"))
 
 
 @query("SELECT part, count(*) AS n FROM (SELECT 'new' AS part, document_id, content_hash, CAST(NULL AS INT) AS triple_count FROM documents UNION ALL SELECT 'state', document_id, content_hash, triple_count FROM extract_state) GROUP BY part")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import ontology
 from ..functions.text import stripped
 from ..operators import assess, dedupe, rules, store
-from ..runtime import table
+from ..runtime import materialize, table
 from . import sql
 
 Q: dict = {}
@@ -239,7 +239,8 @@ BEST = f"best AS (SELECT * FROM triples QUALIFY {_KEEP} = 1)"
 def quality_graph(spark, d):
     """The flagship: valid facts, the best of each kept, scored with support, conflicts and flags."""
     best = dedupe.keep_best(rules.valid(_t(spark, d))).where("action = 'keep'").drop("action")
-    return assess.assess(best).select("id", "subject", "relation", "object", "confidence", "confidence_level", "quality_flags", "support_document_count")
+    # the winners are read by support, conflicts and scores
+    return assess.assess(materialize(best, "best-facts")).select("id", "subject", "relation", "object", "confidence", "confidence_level", "quality_flags", "support_document_count")
 
 
 Q["quality_graph"] = quality_graph
