@@ -167,7 +167,7 @@ def similar_pairs(g: Graph, least: int = 2) -> DataFrame:
 def similarity_view(g: Graph, diseases: int = 120, most_edges: int = 220) -> View:
     """The similarity view: derived edges with the names of the shared symptoms, and the totals before the cut."""
     pairs = similar_pairs(g)
-    chosen = similarity(pairs, diseases, most_edges)
+    chosen = strongest(pairs, diseases, most_edges)
     e = symptom_edges(g).select("source", "target", F.col("target_name").alias("name")).distinct()
     # only the symptoms of the chosen pairs, bounded by ``most_edges``, are gathered
     a = chosen.join(e.select("source", F.col("target").alias("symptom"), "name"), "source")
@@ -180,7 +180,12 @@ def similarity_view(g: Graph, diseases: int = 120, most_edges: int = 220) -> Vie
     return View(_used(g.nodes, edges), edges, None, _totals(ends, pairs))
 
 
-def similarity(pairs: DataFrame, diseases: int = 120, most_edges: int = 220) -> DataFrame:
+def similarity(g: Graph, diseases: int = 120, most_edges: int = 220) -> DataFrame:
+    """Edges of the similarity view: ``source, target, shared``."""
+    return strongest(similar_pairs(g), diseases, most_edges)
+
+
+def strongest(pairs: DataFrame, diseases: int = 120, most_edges: int = 220) -> DataFrame:
     """The strongest ``pairs`` among the diseases of highest weighted degree."""
     weight = pairs.select(F.explode(F.array("source", "target")).alias("id"), "shared").groupBy("id").agg(F.sum("shared").alias("w"))
     chosen = weight.orderBy(F.desc("w"), "id").limit(diseases).select("id")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import ahocorasick
@@ -10,15 +11,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def places(sentence: str, term: str) -> list[int]:
+    """Where ``term`` begins in ``sentence``, overlapping places included."""
+    return [m.start() for m in re.finditer(f"(?={re.escape(term)})", sentence)] if term else []
+
+
+def _put(labels: list[str], at: int, size: int, kind: str) -> None:
+    labels[at : at + size] = ["B-" + kind] + ["I-" + kind] * (size - 1)
+
+
+def _is_free(labels: list[str], at: int, size: int) -> bool:
+    return set(labels[at : at + size]) == {"O"}
+
+
 def mark_terms(sentence: str, terms: list[tuple[str, str]]) -> list[str]:
     """B-/I- labels of the terms, longest first, only where all characters are free; O elsewhere."""
     labels = ["O"] * len(sentence)
     for term, kind in sorted(terms, key=lambda t: (-len(t[0]), t[0], t[1])):
-        at = sentence.find(term) if term else -1
-        while at >= 0:
-            if all(x == "O" for x in labels[at : at + len(term)]):
-                labels[at : at + len(term)] = ["B-" + kind] + ["I-" + kind] * (len(term) - 1)
-            at = sentence.find(term, at + 1)
+        for at in places(sentence, term):
+            if _is_free(labels, at, len(term)):
+                _put(labels, at, len(term), kind)
     return labels
 
 
@@ -134,27 +146,20 @@ def gold_labels(text: str, spans: list[tuple[int, int, str]]) -> list[str]:
 
 def mark_once(labels: list[str], sentence: str, term: str, kind: str) -> bool:
     """Label the first place of ``term`` whose characters are all free, in ``labels``; whether there is one."""
-    at = sentence.find(term) if term else -1
-    while at >= 0:
-        if all(x == "O" for x in labels[at : at + len(term)]):
-            labels[at : at + len(term)] = ["B-" + kind] + ["I-" + kind] * (len(term) - 1)
-            return True
-        at = sentence.find(term, at + 1)
-    return False
+    free = [at for at in places(sentence, term) if _is_free(labels, at, len(term))]
+    if free:
+        _put(labels, free[0], len(term), kind)
+    return bool(free)
 
 
 def weak_labels(sentence: str, terms: list[tuple[str, str]]) -> list[str]:
     """Labels of lexicon hits in the given order of terms: a hit needs a free first character, its others fill free places."""
     labels = ["O"] * len(sentence)
     for term, kind in terms:
-        at = sentence.find(term) if term else -1
-        while at >= 0:
-            if labels[at] == "O":
-                labels[at] = "B-" + kind
-                for k in range(at + 1, at + len(term)):
-                    if labels[k] == "O":
-                        labels[k] = "I-" + kind
-            at = sentence.find(term, at + len(term))
+        for m in re.finditer(re.escape(term), sentence) if term else ():
+            own = ["B-" + kind] + ["I-" + kind] * (len(term) - 1)
+            if labels[m.start()] == "O":
+                labels[m.start() : m.end()] = [mine if there == "O" else there for mine, there in zip(own, labels[m.start() : m.end()], strict=True)]
     return labels
 
 

@@ -97,7 +97,7 @@ def similar_pairs(spark, d):
   ch AS (SELECT id FROM w ORDER BY w DESC, id LIMIT 120)
   SELECT source, target, shared FROM pairs WHERE source IN (SELECT id FROM ch) AND target IN (SELECT id FROM ch) ORDER BY shared DESC, source, target LIMIT 220""")
 def similarity_view(spark, d):
-    return graph.similarity(graph.similar_pairs(_g(spark, d)))
+    return graph.similarity(_g(spark, d))
 
 
 _SIM = f"""{E}, {_S}, {_PAIRS}, w AS (SELECT id, sum(shared) AS w FROM (SELECT source AS id, shared FROM pairs UNION ALL SELECT target, shared FROM pairs) GROUP BY id),
@@ -172,7 +172,7 @@ def node_sizes(spark, d):
 
 @query(f"WITH {_SIM} SELECT source, target, round(least(7.0, 1.2 + 1.35 * log2(shared)), 6) AS width FROM top")
 def edge_widths(spark, d):
-    pairs = graph.similarity(graph.similar_pairs(_g(spark, d)))
+    pairs = graph.similarity(_g(spark, d))
     return pairs.select("source", "target", F.round(graph.edge_width(F.col("shared")), 6).alias("width"))
 
 

@@ -115,3 +115,41 @@ def test_loop_counts_once(spark):
 def test_empty(spark, view):
     g = graph.build(spark.createDataFrame([], SCHEMA))
     assert view(g).nodes.count() == 0 and graph.similarity(g).count() == 0 and graph.representative(g, 10, 10).count() == 0
+
+
+def test_evidence_and_flags_in_order(spark):
+    df = frame(spark, {}, {"source_document_id": "doc2"}, {}, {"source_text": ""}, {"source_document_id": None, "source_text": " "})
+    flagged = df.selectExpr("*", "case id when 0 then array('b') when 1 then array('a', 'b') when 2 then null else array('c') end AS quality_flags")
+    g = graph.build(flagged)
+    assert [(r.position, r.source_document_id, r.source_text) for r in graph.evidence(g).orderBy("position").collect()] == [(1, "doc1", "原句"), (2, "doc2", "原句"), (3, "doc1", "")]
+    assert [r.flags for r in graph.edge_flags(g).collect()] == [["b", "a", "c"]]
+    assert graph.edge_flags(graph.build(df)).count() == 0
+
+
+def test_totals_before_the_cut(spark):
+    g = graph.build(frame(spark, *({"object": f"乙{i}"} for i in range(100))))
+    near = graph.neighbourhood(g)
+    assert near.nodes.count() == 80 and near.totals.first().total_nodes == 101
+    rows = [{"subject": s, "subject_type": "Disease", "relation": "HAS_SYMPTOM", "object": f"状{i}", "object_type": "Symptom"} for i in range(8) for s in ("甲病", "乙病")]
+    g = graph.build(frame(spark, *rows))
+    cut = graph.bipartite(g, 1, 3, 2)
+    assert cut.edges.count() == 2 and tuple(cut.totals.first()) == (10, 16) and tuple(graph.full(g).totals.first()) == (10, 16)
+    view = graph.similarity_view(g)
+    e = view.edges.first()
+    assert (e.relation, e.weight, list(e.shared_names)) == ("SHARES_SYMPTOM", 8, [f"状{i}" for i in range(8)]) and tuple(view.totals.first()) == (2, 1) and view.nodes.count() == 2
+
+
+def test_common_symptom_brings_no_pairs(spark):
+    """A symptom that all have is no reason to meet; pairs are found by what else they share."""
+    rows = [{"subject": f"病{i}", "subject_type": "Disease", "relation": "HAS_SYMPTOM", "object": o, "object_type": "Symptom"} for i in range(60) for o in ("共", f"独{i // 2}", f"又{i}")]
+    pairs = graph.similar_pairs(graph.build(frame(spark, *rows))).collect()
+    assert len(pairs) == 30 and {r.shared for r in pairs} == {2}
+
+
+def test_panels(spark):
+    g = graph.build(frame(spark, {"confidence": 0.55}, {"object": "丙", "confidence": 0.9, "source_document_id": None, "source_text": None}))
+    d = {(r.panel, r.label): r.n for r in graph.dashboard(g).collect()}
+    assert d[("evidence_percent", "")] == 50 and d[("low_quality", "")] == 1
+    p = {(r.panel, r.label): r.n for r in graph.filter_panel(g).collect()}
+    assert p[("slider", "0.50")] == 2 and p[("slider", "0.81")] == 1 and p[("type", "症状")] == 2
+    assert [(r.nodes, r.edges) for r in graph.packed(g).collect()] == [(3, 2)]
