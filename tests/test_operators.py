@@ -97,7 +97,7 @@ def test_whole_tables_are_merged(spark, sf_dir):
         got = [r.document_id for r in document_queries.Q[name](spark, sf_dir).select("document_id").collect()]
         assert len(got) == len(set(got)) and set(got) == docs | recs
     low = {r.id for r in table(spark, sf_dir, "triples").where("confidence < 0.4").collect()}
-    assert low and {r.id for r in fact_queries.Q["review_semi_low"](spark, sf_dir).collect()} == low
+    assert low and {r.id for r in fact_queries.Q["review_semi"](spark, sf_dir).collect()} == low
 
 
 def test_unknown_rule():
