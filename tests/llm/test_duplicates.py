@@ -113,6 +113,23 @@ def test_hot_buckets_lose_nothing(spark):
     assert {(r.first, r.id) for r in neardup.near_duplicates(df, "doc_id", "content", hot).collect()} == want
 
 
+def test_far_pairs_of_buckets_are_not_written(spark, monkeypatch):
+    """Pairs are tested where they meet, in one slice or several, in hot buckets too; those that are far leave no rows."""
+    rows = texts(15)[:40] + boilerplate(150, 12)
+    df = spark.createDataFrame(list(enumerate(rows)), "id long, content string")
+    signed = neardup.signatures(df, "id", "content", neardup.Scheme()).cache()
+    members = signed.select(F.lit(7).cast("long").alias("bucket"), "id", F.lit(-1).cast("long").alias("lead"))
+    none = spark.createDataFrame([], "id long, label long")
+    keys = {r.id: r.compared for r in signed.collect()}
+    want = {(i, j) for i, j in itertools.combinations(sorted(keys), 2) if near(keys[i], keys[j])}
+    for least, most in ((500_000, 20_000), (150, 20_000), (2000, 0)):
+        monkeypatch.setattr(neardup, "LEAST_ROWS", least)
+        monkeypatch.setattr(neardup, "ROWS_A_TEXT", 0)
+        scheme = neardup.Scheme(most_pairs=most)
+        found = {(r.a, r.b) for r in neardup.cross_pairs(members, none, signed.select("id", "compared"), scheme, neardup.sketch_near(signed, scheme)).collect()}
+        assert want <= found and len(found) < 1000  # of 17,955 pairs
+
+
 def test_recall_at_the_threshold(spark):
     """Lone pairs of similarity 0.60 to 0.65, each in an alphabet of its own: found by the bands of p2 and of p6."""
     rnd = random.Random(31)
