@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from .. import ontology
 from ..functions import text
+from ..runtime import materialize
 
 # Lexicons of the rule layer.
 LEXICON = {
@@ -185,8 +186,9 @@ def sure_spans(kept: DataFrame, min_length: int = 2, threshold: float = 0.7) ->
 
 def span_layer(spans: DataFrame, docs: DataFrame, key: str = "doc_id", min_length: int = 2, threshold: float = 0.7) -> tuple[DataFrame, DataFrame]:
     """(facts, routed sentences) of a span model: sure spans are paired by clause, sentence or title; a sentence with
-    spans that gives no fact is routed to the next layer, each different sentence of a document once."""
-    spans = sure_spans(kept_spans(spans, docs, key), min_length, threshold)
+    spans that gives no fact is routed to the next layer, each different sentence of a document once. Spans are written
+    once, so the model sees a sentence once, not for every use of its spans."""
+    spans = materialize(sure_spans(kept_spans(spans, docs, key), min_length, threshold), "kept-spans")
     facts = pair_spans(spans.where("sure").drop("sure"), key, docs.select(key, "title")).where("relation IS NOT NULL")
     signs = spans.groupBy(key, "pos").agg(F.min("sentence").alias("sentence"))
     routed = signs.join(facts.select(key, "pos").distinct(), [key, "pos"], "left_anti")

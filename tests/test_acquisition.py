@@ -109,6 +109,20 @@ def test_span_layer(spark):
     assert sorted((r.doc_id, r.sentence, r.pos) for r in routed.collect()) == [(2, "乙病发热", 2), (2, "发热", 0), (2, "热", 1)]
 
 
+def test_sentences_are_tagged_once(spark, tmp_path):
+    seen = tmp_path / "seen"
+
+    def tagger(sentences):
+        with seen.open("a") as f:
+            f.writelines(f"{x}\n" for x in sentences)
+        return sentences.map(lambda x: [{"term": "头痛", "type": "Symptom", "confidence": 0.9, "start": 0, "end": 2}] if "头痛" in x else [])
+
+    docs = spark.createDataFrame([(1, "甲病", "头痛。发热。"), (2, "某药", "头痛！")], "doc_id long, title string, content string")
+    facts, routed = extract.span_layer(extract.tag_spans(extract.sentence_rows(docs), tagger), docs)
+    assert [(r.doc_id, r.subject) for r in facts.collect()] == [(1, "甲病")] and [r.doc_id for r in routed.collect()] == [2]
+    assert sorted(seen.read_text().split()) == ["发热。", "头痛。", "头痛！"]
+
+
 def test_triggers(spark):
     docs = [(1, "d1", "甲病", "症状有头痛和咳嗽头痛。治疗用药片；出现甲病。", '["c"]'), (2, "d2", "甲病", "表现为头痛。", "c"), (3, "d3", "乙病", "症状有头痛", "[]"), (4, None, "丙", "症状有头痛", "c")]
     df = spark.createDataFrame(docs, "doc_id long, document_id string, title string, content string, category_ids string")
