@@ -4,6 +4,7 @@ import itertools
 import json
 import random
 from collections import Counter
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -275,6 +276,37 @@ def test_stored_history_grows_by_accepted_records(spark, tmp_path, monkeypatch):
     assert signed.select("id").distinct().count() == signed.count()
 
 
+def test_bands_are_made_by_slices(spark):
+    """Rows signed without bands give the buckets of those that store them."""
+    df = spark.createDataFrame(list(enumerate(texts(12))), "id long, content string")
+    of = lambda *args: Counter((r.id, r.bucket) for part in neardup.band_slices(neardup.signatures(df, "id", "content", increment.BANDS, *args), increment.BANDS, "id") for r in part.collect())
+    stored = of(increment.PIVOTS)
+    assert stored == of(increment.PIVOTS, False) and sum(stored.values()) % increment.BANDS.bands == 0
+
+
+def test_bands_and_read_contents_are_not_kept_on_disk(spark, monkeypatch):
+    """The working tables of a call take less than twice the bytes of the compared texts at any time."""
+    rnd = random.Random(21)
+    pool = ["".join(rnd.choice(ALPHABET) for _ in range(200)) for _ in range(3000)]
+    docs = [(i, f"doc_{i}", None, c) for i, c in enumerate(pool[:2000])]
+    records = [(f"run_{i % 4}", f"r{i}", None, json.dumps({"text": {"content": c}})) for i, c in enumerate(pool[2000:] + pool[:200])]
+    ddf = spark.createDataFrame(docs, "doc_id long, document_id string, content_hash string, content string").coalesce(1)
+    rdf = spark.createDataFrame(records, "run_id string, document_id string, content_hash string, canonical_json string").coalesce(1)
+    paths, most = [], [0]
+
+    def watched(df, tag):
+        out = materialize(df, tag)
+        paths.append(Path(out.written_path.removeprefix("file:").replace("//", "/")))
+        most[0] = max(most[0], sum(f.stat().st_size for p in paths for f in p.glob("*.parquet")))
+        return out
+
+    materialize = increment.materialize
+    for module in (increment, neardup):
+        monkeypatch.setattr(module, "materialize", watched)
+    assert increment.repeated_records(rdf, ddf).count() == 200
+    assert 0 < most[0] < 2 * sum(len(c.encode()) for c in pool + pool[:200])
+
+
 def test_bands_miss_few_pairs_at_the_threshold():
     b = increment.BANDS
     assert (1 - b.threshold**b.rows) ** b.bands <= (1 - 0.6**5) ** 48
